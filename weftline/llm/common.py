@@ -141,3 +141,16 @@ def later_copies(keys: np.ndarray) -> np.ndarray:
     out = np.zeros(len(keys), bool)
     out[order[1:][ranked[1:] == ranked[:-1]]] = True
     return out
+
+
+def gather_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each run, one after the other."""
+    first = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - first, lengths)
+
+
+def span_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte runs as an Arrow string column, without a Python string each."""
+    lengths = ends - starts
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[gather_index(starts, lengths)]))).cast(pa.string())

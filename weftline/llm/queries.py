@@ -1,11 +1,17 @@
 """The queries of this subpackage, by name, and the SQL that some of them equal."""
 
+from .decontaminate import op9_decontamination
+from .mil_classifier import op3_quality_classifier
+from .pieces import op2_sentencepiece
 from .quality_rules import op7_quality_rules
 from .simhash import op4_simhash
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash": op4_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
