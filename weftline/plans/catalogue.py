@@ -1,11 +1,8 @@
 """All queries of the library and the SQL that they equal."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import queries_pages, queries_scores, queries_tables  # noqa: F401  (they register themselves)
+from .registry import CATALOGUE
 
 FLAGSHIP = "bow_micro_f1"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = CATALOGUE.queries
+ORACLE_SQL = CATALOGUE.sql
