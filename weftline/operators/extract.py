@@ -167,10 +167,12 @@ def cetd_variant(html: str | None) -> str:
 
 
 def filing(html: str | None) -> str:
-    """What lies between <html> and </html>, without elements whose density sum is 0."""
+    """What lies between <html> and </html>, without elements whose density sum is 0. An element that holds
+    text alone has no child to sum over; its own density counts, so that its text is not lost."""
     found = re.search(r"(?is)<html.*?</html>", html or "")
     density = Density(body_of(found[0] if found else html))
-    return density.text([int(s > 0) for s in density.sums]) if density.chars[0] else ""
+    kept = [int(s > 0 or d > 0 and not kids) for s, d, kids in zip(density.sums, density.density, density.kids)]
+    return density.text(kept) if density.chars[0] else ""
 
 
 def body_text(html: str | None) -> str:
