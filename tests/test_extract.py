@@ -73,7 +73,7 @@ def test_alignment():
 def test_node_labels(spark):
     from weftline.operators import dom
 
-    pages = spark.createDataFrame([(1, "<html><p>one two three four</p><i>noise</i><b></b></html>"), (2, "<p>none</p>")], "page_id long, html string")
+    pages = spark.createDataFrame([(1, "<html><p>one two three four</p> <i>noise</i><b></b></html>"), (2, "<p>none</p>")], "page_id long, html string")
     gold = spark.createDataFrame([(1, "one two three four"), (2, "something else")], "page_id long, text string")
     got = scoring.label_nodes(dom.dom_table(pages, "nodes"), dom.dom_table(pages, "tokens"), gold).collect()
     assert {(r.page_id, r.node_id): r.label for r in got} == {(1, 0): "other", (1, 1): "content", (1, 2): "non_content", (1, 3): "other"}

@@ -51,9 +51,9 @@ def test_spectral_positions():
 
 
 def test_lexrank():
-    s = [["a", "b"], ["a", "b", "c"], ["x"], ["b", "c"]]
+    s = [["a", "p"], ["a", "b", "c"], ["x"], ["b", "q"], ["c", "r"]]
     score = graph.lexrank(s, 0.05)
-    assert score.argmax() == 1 and score.sum() == pytest.approx(4) and graph.lexrank([]).size == 0
+    assert score.argmax() == 1 and score.sum() == pytest.approx(5) and graph.lexrank([]).size == 0
 
 
 def test_layers():

@@ -113,10 +113,12 @@ def looks_like_html(content: Column) -> Column:
     return content.rlike(r"(?is)^\s*(<!doctype html|<html|<head|<title|<body)")
 
 
+#: What Windows-1252 has at 0x80 to 0x9F, with its five unused codes left as they are (fixed values).
+_CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
 def decode_text(content: Column) -> Column:
     """Bytes as text: UTF-8 if they are valid, else Windows-1252 where it has all their codes, else ISO-8859-1."""
-    undefined = F.expr("false")
-    hexed = F.hex(content)
-    for code in ("81", "8D", "8F", "90", "9D"):  # the codes that Windows-1252 leaves out (fixed values)
-        undefined = undefined | (F.regexp_instr(hexed, F.lit(f"^(?:..)*{code}")) > 0)
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).when(undefined, F.decode(content, "ISO-8859-1")).otherwise(F.decode(content, "WINDOWS-1252"))
+    latin = F.decode(content, "ISO-8859-1")
+    western = F.translate(latin, "".join(map(chr, range(0x80, 0xA0))), _CP1252)
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).when(latin.rlike(r"[\x81\x8d\x8f\x90\x9d]"), latin).otherwise(western)

@@ -163,3 +163,16 @@ def within_hops(nodes: DataFrame, hops: int) -> DataFrame:
         reached = step.join(out.select("page_id", "node_id", "near_id"), ["page_id", "node_id", "near_id"], "left_anti").withColumn("distance", F.lit(k))
         out = out.unionByName(reached)
     return out
+
+
+def register_udtf(spark) -> None:
+    """SQL function dom_nodes(html): node_id, parent_id, depth, tag of a page, for LATERAL joins."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="node_id: int, parent_id: int, depth: int, tag: string")
+    class DomNodes:
+        def eval(self, html: str):
+            for e in markup.elements(markup.parse(html)):
+                yield e.number, e.parent.number if e.parent.number >= 0 else None, e.depth, e.tag
+
+    spark.udtf.register("dom_nodes", DomNodes)

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
-from weftline.operators import blocks, dom, extract, graph, nn, scoring
+from weftline.operators import blocks, dom, extract, features, graph, models, nn, scoring
 
 from .lineage import checkpoint
 from .registry import query, table
@@ -275,3 +275,36 @@ def block_accuracy(spark, sf_dir):
 def best_epoch(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").groupBy((F.col("doc_id") % 30).alias("epoch")).agg(F.round(F.avg("quality"), 6).alias("m"))
     return scoring.best_epoch(rows, "epoch", "m")
+
+
+@query()
+def node_features(spark, sf_dir):
+    """The whole feature vector of every node, by its length, sum and largest entry."""
+    p = features.FeatureParams(text_dim=32, class_dim=16, positions=16)
+    found = features.node_features(table(spark, sf_dir, "pages"), p)
+    return found.select("page_id", "node_id", F.size("features").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.array_max("features"), 5).alias("largest"))
+
+
+@query()
+def inlined_styles(spark, sf_dir):
+    return features.inlined_styles(table(spark, sf_dir, "pages"))
+
+
+@query()
+def genre_folds(spark, sf_dir):
+    """Pages classified by their declared language from hashed words, in three folds: mean and deviation."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"), text.strip_markup(F.col("html")).alias("body"))
+    label = F.coalesce(F.array_position(F.array(F.lit("de"), F.lit("en"), F.lit("es"), F.lit("fr")), F.col("lang")), F.lit(0))
+    rows = models.counts_of(pages.withColumn("label", label), ["page_id", "label"], text.tokens(F.lower("body")), 512)
+    judged = models.cross_validate(rows, "page_id", "label")
+    return _rounded(scoring.fold_summary(judged.withColumn("right", (F.col("label") == F.col("prediction")).cast("int")), "fold", "right"), "mean", "std")
+
+
+@query()
+def leaf_classifier(spark, sf_dir):
+    """Leaf texts judged content or not from hashed words and tags, learned from node labels."""
+    _, labels = _labelled(spark, sf_dir)
+    truth = labels.where("label <> 'other'").select("page_id", "node_id", (F.col("label") == "content").cast("int").alias("label"))
+    rows = checkpoint(models.leaf_features(_blocks(spark, sf_dir)).join(truth, ["page_id", "node_id"]))
+    scored = models.train_logistic(rows.select("features", F.col("label").cast("double").alias("label"))).transform(rows.drop("label")).join(truth, ["page_id", "node_id"])
+    return _rounded(scoring.accuracy(scored.withColumn("prediction", F.col("prediction").cast("int")), "prediction", "label"), "accuracy", "precision", "recall", "f1")

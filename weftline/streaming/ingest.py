@@ -48,7 +48,7 @@ def gate_groups(stream: DataFrame, group: str, key: str, least: int = 2) -> Data
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by type and tumbling window of event time, with a watermark for late ones."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
