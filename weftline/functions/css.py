@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,41 +23,60 @@ PIXEL_LIMITS = [(9.0, "xx-small"), (11.0, "x-small"), (14.0, "small"), (17.0, "m
 _NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def one_hot(slot: Column, names: list[str], otherwise: str) -> Column:
-    known = F.when(slot.isin(names), slot).otherwise(otherwise)
-    return F.array(*[F.when(known == n, 1.0).otherwise(0.0) for n in names])
+    slots = F.array(*map(F.lit, names))
+    known = F.coalesce(F.try_element_at(F.filter(slots, lambda n: n == slot), F.lit(1)), F.lit(otherwise))
+    return let(known, lambda k: F.transform(slots, lambda n: F.when(n == k, 1.0).otherwise(0.0)))
+
+
+def size_parts(size: Column) -> Column:
+    """A struct of kind (0 a share (%), 1 pixels, 2 em or rem, 3 invalid) and val (0 where invalid)."""
+
+    def read(x: Column) -> Column:
+        number, unit = x["number"], x["unit"]
+        kind = F.when(number.isNull(), 3).when(unit == "%", 0).when(unit.isin("em", "rem"), 2).when(unit.isin("px", "in", "pt", "pc", ""), 1).otherwise(3)
+        value = (
+            F.when(number.isNull(), 0.0)
+            .when(unit == "%", number / 100)
+            .when(unit.isin("em", "rem", "px", ""), number)
+            .when(unit == "in", number * 96)
+            .when(unit == "pt", number * 96 / 72)
+            .when(unit == "pc", number * 12 * 96 / 72)
+            .otherwise(0.0)
+        )
+        return F.named_struct(F.lit("kind"), F.coalesce(kind, F.lit(3)), F.lit("val"), F.coalesce(value, F.lit(0.0)))
+
+    def cut(text: Column) -> Column:
+        return F.named_struct(F.lit("number"), F.regexp_extract(text, _NUMBER, 1).try_cast("double"), F.lit("unit"), F.regexp_replace(text, _NUMBER, ""))
+
+    return let(let(F.trim(size), cut), read)
 
 
 def size_kind(size: Column) -> tuple[Column, Column]:
-    """(kind, value): kind 0 a share (%), 1 pixels, 2 em or rem, 3 invalid with value 0."""
-    text = F.trim(size)
-    number = F.regexp_extract(text, _NUMBER, 1).try_cast("double")
-    unit = F.regexp_replace(text, _NUMBER, "")
-    kind = F.when(number.isNull(), 3).when(unit == "%", 0).when(unit.isin("em", "rem"), 2).when(unit.isin("px", "in", "pt", "pc", ""), 1).otherwise(3)
-    value = (
-        F.when(number.isNull(), 0.0)
-        .when(unit == "%", number / 100)
-        .when(unit.isin("em", "rem", "px", ""), number)
-        .when(unit == "in", number * 96)
-        .when(unit == "pt", number * 96 / 72)
-        .when(unit == "pc", number * 12 * 96 / 72)
-        .otherwise(0.0)
-    )
-    return F.coalesce(kind, F.lit(3)), F.coalesce(value, F.lit(0.0))
+    """(kind, value) of size_parts."""
+    parts = size_parts(size)
+    return parts["kind"], parts["val"]
 
 
 def size_features(size: Column) -> Column:
-    kind, value = size_kind(size)
-    return F.struct(F.array(*[F.when(kind == k, 1.0).otherwise(0.0) for k in range(4)]).alias("class"), value.alias("val"))
+    return let(size_parts(size), lambda s: F.named_struct(F.lit("class"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(s["kind"] == k, 1.0).otherwise(0.0)), F.lit("val"), s["val"]))
 
 
 def font_size_slot(size: Column) -> Column:
-    kind, value = size_kind(size)
-    pixels = F.lit("xx-large")
-    for limit, name in reversed(PIXEL_LIMITS):
-        pixels = F.when(value <= limit, name).otherwise(pixels)
-    relative = F.when(value >= 1.01, "larger").when(value <= 0.99, "smaller").otherwise("inherit")
-    return F.when(size.isin(FONT_SIZES), size).when(kind == 3, "inherit").when(kind == 1, pixels).otherwise(relative)
+    def choose(s: Column) -> Column:
+        kind, value = s["p"]["kind"], s["p"]["val"]
+        pixels = F.lit("xx-large")
+        for limit, name in reversed(PIXEL_LIMITS):
+            pixels = F.when(value <= limit, name).otherwise(pixels)
+        relative = F.when(value >= 1.01, "larger").when(value <= 0.99, "smaller").otherwise("inherit")
+        return F.when(s["size"].isin(FONT_SIZES), s["size"]).when(kind == 3, "inherit").when(kind == 1, pixels).otherwise(relative)
+
+    return let(let(size, lambda x: F.named_struct(F.lit("size"), x, F.lit("p"), size_parts(x))), choose)
 
 
 def font_size(size: Column) -> Column:

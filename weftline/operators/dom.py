@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.plans.lineage import spread
+
 from . import markup
 
 _ROWS = 20_000
@@ -73,7 +75,7 @@ def dom_table(pages: DataFrame, want: str, drop: frozenset[str] = markup.DROPPED
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-    return pages.select(F.col(id_column).cast("long"), html_column).mapInArrow(run, SCHEMAS[want])
+    return spread(pages.select(F.col(id_column).cast("long"), html_column)).mapInArrow(run, SCHEMAS[want])
 
 
 def edges_of(nodes: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.lineage import spread
+
 from . import markup
 
 LINKS = frozenset({"a", "button", "select"})
@@ -227,7 +229,7 @@ def extract(pages: DataFrame, name: str, id_column: str = "page_id", html_column
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], [id_column, "text", "error"])
 
     kind = pages.schema[id_column].dataType.simpleString()
-    return pages.select(id_column, html_column).mapInArrow(run, f"`{id_column}` {kind}, text string, error string")
+    return spread(pages.select(id_column, html_column)).mapInArrow(run, f"`{id_column}` {kind}, text string, error string")
 
 
 def density_table(pages: DataFrame) -> DataFrame:
@@ -244,7 +246,7 @@ def density_table(pages: DataFrame) -> DataFrame:
             names = ["page_id", "place", "tag", "n_chars", "n_tags", "n_link_chars", "n_link_tags", "density", "density_sum", "mark"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 10, kinds)], names)
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, place long, tag string, n_chars long, n_tags long, n_link_chars long, n_link_tags long, density double, density_sum double, mark long")
+    return spread(pages.select("page_id", "html")).mapInArrow(run, "page_id long, place long, tag string, n_chars long, n_tags long, n_link_chars long, n_link_tags long, density double, density_sum double, mark long")
 
 
 def text_of_nodes(texts: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import css
 from weftline.functions.text import tokens
+from weftline.plans.lineage import checkpoint
 
 from . import dom, graph, markup
 
@@ -35,7 +36,7 @@ def lengths(p: FeatureParams) -> dict[str, int]:
 def node_features(pages: DataFrame, p: FeatureParams = FeatureParams(), properties: DataFrame | None = None) -> DataFrame:
     """page_id, node_id, features (in the order of `lengths`). With computed properties (page_id, node_id,
     properties map) fonts come from them, else from inline styles and tags."""
-    nodes = dom.dom_table(pages, "nodes")
+    nodes = checkpoint(dom.dom_table(pages, "nodes"))  # several branches read it: parse once
     key = ["page_id", "node_id"]
     style = css.style_map(F.try_element_at("attrs", F.lit("style")))
     words, own_id = graph.visual_words(F.col("attrs"))
@@ -45,8 +46,8 @@ def node_features(pages: DataFrame, p: FeatureParams = FeatureParams(), properti
     else:
         rows = rows.join(properties, key, "left")
         size, weight, slant = computed_font(F.col("properties"))
-    rows = rows.withColumns({"f_size": css.font_size(size), "f_weight": css.font_weight(weight), "f_style": css.font_style(slant)})
-    text = dom.own_text(dom.dom_table(pages, "texts"))
+    rows = checkpoint(rows.withColumns({"f_size": css.font_size(size), "f_weight": css.font_weight(weight), "f_style": css.font_style(slant)}))
+    text = checkpoint(dom.own_text(dom.dom_table(pages, "texts")))
     text_vec = graph.hash_embeddings(text, key, tokens(F.col("text")), p.text_dim).withColumnRenamed("vec", "text_vec")
     class_vec = graph.hash_embeddings(rows, key, tokens(F.col("class_text")), p.class_dim).withColumnRenamed("vec", "class_vec")
     id_vec = graph.hash_embeddings(rows, key, tokens(F.col("id_text")), p.class_dim).withColumnRenamed("vec", "id_vec")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.lineage import spread
+
 from . import markup
 from .sampling import hash_int, hash_share
 
@@ -144,7 +146,7 @@ def subgraphs(pages: DataFrame, p: GraphParams = GraphParams(), with_tensor: boo
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return pages.select("page_id", "html").mapInArrow(run, schema)
+    return spread(pages.select("page_id", "html")).mapInArrow(run, schema)
 
 
 def node_subgraphs(pages: DataFrame, labelled: DataFrame, p: GraphParams = GraphParams()) -> DataFrame:
@@ -197,7 +199,7 @@ def laplacian_positions(pages: DataFrame, k: int = 8) -> DataFrame:
                     x = spectral_positions(len(found), [(e.number, e.parent.number) for e in found if e.parent.number >= 0], k)
                     yield pa.RecordBatch.from_arrays([pa.array([page_id] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["page_id", "node_id", "eigen"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, node_id int, eigen array<double>")
+    return spread(pages.select("page_id", "html")).mapInArrow(run, "page_id long, node_id int, eigen array<double>")
 
 
 def flip_signs(vector: Column, key: Column, seed: int = 0) -> Column:

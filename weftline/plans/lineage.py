@@ -22,6 +22,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
+    """A table read from few small files, dealt over all cores before a costly kernel. Inputs of at least
+    `least_bytes` a core by Spark's own estimate have enough splits of their own and are left alone, so a
+    large table is never shuffled for this."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < cores * least_bytes else df
+
+
 def rank_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """`df` with each row's place (from 0) in a total order. Rows are range-partitioned and sorted; only one
     count a partition is added up in one place."""
