@@ -85,7 +85,7 @@ def test_encode_by_brute_force(spark, toy, which, chunk, monkeypatch):
 def test_chunk_matrices_compose(toy):
     r = np.random.default_rng(2)
     for v in toy:
-        table = lattice.AtomTable(v)
+        table = lattice.HashedAtoms(v)
         for _ in range(30):
             text = " " + "".join(r.choice(list("abc "), int(r.integers(40, 90))))
             cuts = [0, 20, 37, len(text)]

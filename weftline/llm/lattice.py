@@ -61,7 +61,7 @@ class Vocabulary:
         front = all(SPACE not in pieces[i].lstrip(SPACE) for i in self.normal)
         alone = "".join(c for c in "\n\t\r\x0b\x0c" if c not in longer)
         self.atom = re.compile(f" +[^ {alone}]*|[^ {alone}]+" + (f"|[{alone}]" if alone else "") if front else r"(?s).+")
-        self.cuts_at_space, self.alone = front, np.zeros(256, bool)
+        self.cuts_at_space, self.alone, self.alone_chars = front, np.zeros(256, bool), alone if front else ""
         self.alone[list(alone.encode())] = front
         self.bytes_of = [p.replace(SPACE, " ").encode() for p in pieces]
         for b, i in enumerate(byte_ids):

@@ -65,6 +65,8 @@ def encode_whole(v: lattice.Vocabulary, table: lattice.HashedAtoms, column: pa.A
     for lo, hi in blocks(offsets):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         ids, edges, scores = table.encode(part, at)
+        if not np.array_equal(lattice.decode_flat(v, ids)[0], part):  # two atoms of one hash
+            ids, edges, scores = table.table.encode([bytes(part[a:b]).decode() for a, b in zip(at[:-1], at[1:])])
         decoded, length = lattice.decode_flat(v, ids)
         ends = np.concatenate(([0], np.cumsum(length)))[edges]
         same = np.diff(ends) == np.diff(at)
@@ -74,25 +76,30 @@ def encode_whole(v: lattice.Vocabulary, table: lattice.HashedAtoms, column: pa.A
         yield lo, ids, edges, scores, same
 
 
-def atom_spans(v: lattice.Vocabulary, text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in v.atom.finditer(text)]
+def last_cut(v: lattice.Vocabulary, text: str, head: int, own: int) -> int:
+    """The last place in [head, own] that no piece can span, where head is one: before a run of spaces, or
+    after a character that stands alone."""
+    at = text.rfind(" ", head, own)
+    while at > head and text[at - 1] == " ":
+        at -= 1
+    return max([head, at, *(text.rfind(c, head, own) + 1 for c in v.alone_chars)])
 
 
 class Chunk:
     """A chunk of `own` characters with what of the text a piece can reach beyond it."""
 
-    def __init__(self, v: lattice.Vocabulary, table: lattice.AtomTable, text: str, own: int):
+    def __init__(self, v: lattice.Vocabulary, table: lattice.HashedAtoms, text: str, own: int):
         self.v, self.table, self.text, self.own = v, table, text, own
-        spans = atom_spans(v, text)
-        self.head = spans[0][1] if spans and spans[0][1] < own else None  # the first cut within the chunk
-        if self.head is not None:
-            self.middle = [text[a:b] for a, b in spans[1:] if b <= own]
-            self.tail = next((a for a, b in spans[1:] if a < own < b), own)
+        head = v.atom.match(text).end() if text else 0
+        self.head = head if head < own else None  # the first cut within the chunk
+        self.tail = last_cut(v, text, head, own) if head < own else 0
 
     def _encode_middle(self) -> tuple[np.ndarray, float]:
-        self.table.add(set(self.middle).difference(self.table.number))
-        code = np.fromiter(map(self.table.number.__getitem__, self.middle), np.int64, len(self.middle))
-        ids, _, scores = self.table.gather(code, np.array([len(code)]))
+        middle = self.text[self.head : self.tail]
+        data = np.frombuffer(middle.encode(), np.uint8)
+        ids, _, scores = self.table.encode(data, np.array([0, len(data)]))
+        if not np.array_equal(lattice.decode_flat(self.v, ids)[0], data):  # two atoms of one hash
+            ids, _, scores = self.table.table.encode([middle])
         return ids, float(scores[0])
 
     def matrix(self) -> np.ndarray:
@@ -183,7 +190,7 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams(), id_column: str = "do
                     yield pa.RecordBatch.from_arrays([pa.array([uid] * len(nos)), pa.repeat(doc, len(nos)), pa.array(nos, pa.int64()), pa.array([n] * len(nos), pa.int64()), pa.array(own, pa.int64()), pa.array(parts, pa.string())], ["uid", "_id", "no", "n", "own", "part"])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = lattice.AtomTable(held.value)
+        table = _table(held.value, key)
         for batch in batches:
             uid, no, own, part = (batch.column(k) for k in range(4))
             found = [Chunk(held.value, table, t, o).matrix().tobytes() for o, t in zip(own.to_pylist(), part.to_pylist())]
@@ -210,18 +217,20 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams(), id_column: str = "do
         return pd.DataFrame({"uid": pdf.uid, "no": pdf.no, "i": [x for x, _ in states], "j": [x for _, x in states]})
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, table = held.value, lattice.AtomTable(held.value)
+        v, table = held.value, _table(held.value, key)
         for batch in batches:
             own, part, i, j = (batch.column(k).to_pylist() for k in range(3, 7))
             found = [Chunk(v, table, t, o).trace(a, b) for o, t, a, b in zip(own, part, i, j)]
             same = [v.decode(x) == t[a : o + b] for (x, _), o, t, a, b in zip(found, own, part, i, j)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(x) for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.float64()), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array(same, pa.bool_())], names)
 
+    # chunks cost far more than their bytes tell, so their tasks must not be merged by size
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).alias("_id"), text.alias("_text"))
     short = rows.where(F.length("_text") < p.chunk).mapInArrow(whole, schema)
     long = rows.where(F.length("_text") >= p.chunk).select(F.monotonically_increasing_id().alias("uid"), "_id", "_text")
-    chunks = checkpoint(long.mapInArrow(cut, f"uid long, _id {kind}, no long, n long, own long, part string").repartition("uid", "no"))
+    chunks = checkpoint(long.mapInArrow(cut, f"uid long, _id {kind}, no long, n long, own long, part string").repartition(n_tasks, "uid", "no"))
     found = checkpoint(chunks.select("uid", "no", "own", "part").mapInArrow(matrices, "uid long, no long, seg long, m binary"))
     segments = found.groupBy("uid", "seg").applyInPandas(product, "uid long, seg long, m binary")
     states = segments.groupBy("uid").applyInPandas(of_segments, "uid long, seg long, i long, j long")
