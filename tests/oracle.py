@@ -27,7 +27,7 @@ def plain(x):
     if isinstance(x, datetime.datetime):
         return x.replace(tzinfo=None).isoformat()
     if isinstance(x, (int, float)) or type(x).__name__ == "Decimal":
-        return round(float(x), 5)
+        return round(float(x), 5) + 0.0
     return str(x)
 
 

@@ -106,12 +106,12 @@ def pair_permute(spark, sf_dir):
     return left.join(ranked.select("k", F.col("item_id").alias("right_id")), "k").select("left_id", "right_id")
 
 
-@query("""select vec_id, d::int as dim, round(case when d < 4 then sin(vec_id::double / pow(10000.0, d::double / 4)) else cos(vec_id::double / pow(10000.0, (d - 4)::double / 4)) end, 6) as v from embeddings, range(8) r(d)""")
+@query("""select vec_id, d::int as dim, round(case when d < 4 then sin(vec_id::double / pow(10000.0, d::double / 4)) else cos(vec_id::double / pow(10000.0, (d - 4)::double / 4)) end, 6) + 0.0::double as v from embeddings, range(8) r(d)""")
 def sinusoid_positions(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(sampling.positions(F.col("vec_id"), 8)).alias("dim", "v")).withColumn("v", F.round("v", 6))
 
 
-@query("""select vec_id, unnest(range(9))::int as place, round(unnest(list_slice(embedding, s + 1, s + 9))::double, 6) as v
+@query("""select vec_id, unnest(range(9))::int as place, round(unnest(list_slice(embedding, s + 1, s + 9))::double, 6) + 0.0::double as v
 from (select vec_id, embedding, ('0x' || substr(md5('2:' || vec_id), 1, 8))::bigint % greatest(len(embedding) - 8, 1) as s from embeddings)""")
 def patch_windows(spark, sf_dir):
     patch = sampling.patches(F.col("embedding"), F.col("vec_id"), 9, seed=2)
@@ -122,7 +122,7 @@ _D = "list_transform(embedding, lambda x: x::double)"
 
 
 @query(f"""with e as (select vec_id, {_D} as v from embeddings), q as (select vec_id as query_id, v as qv from e where vec_id < 5),
-s as (select query_id, vec_id, round(list_cosine_similarity(qv, v), 6) as score from q, e where vec_id <> query_id)
+s as (select query_id, vec_id, round(list_cosine_similarity(qv, v), 6) + 0.0::double as score from q, e where vec_id <> query_id)
 select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""")
 def emb_cosine_topk(spark, sf_dir):
     """The ten nearest of five given vectors; the five are broadcast, the table is scanned once."""
@@ -134,12 +134,12 @@ def emb_cosine_topk(spark, sf_dir):
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 10")
 
 
-@query(f"select vec_id, unnest(range(len(v)))::int as dim, round(unnest(v) / n, 5) as unit from (select vec_id, v, sqrt(list_dot_product(v, v)) as n from (select vec_id, {_D} as v from embeddings))")
+@query(f"select vec_id, unnest(range(len(v)))::int as dim, round(unnest(v) / n, 5) + 0.0::double as unit from (select vec_id, v, sqrt(list_dot_product(v, v)) as n from (select vec_id, {_D} as v from embeddings))")
 def emb_l2norm(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.l2_normalise(F.col("embedding"))).alias("dim", "unit")).withColumn("unit", F.round("unit", 5))
 
 
-@query("""select vec_id, d::int as dim, round(case when ('0x' || substr(md5('6:' || vec_id), 1, 8))::bigint / 4294967296.0::double < 0.85 then 0 else x::double end, 6) as v from (select vec_id, unnest(range(len(embedding))) as d, unnest(embedding) as x from embeddings)""")
+@query("""select vec_id, d::int as dim, round(case when ('0x' || substr(md5('6:' || vec_id), 1, 8))::bigint / 4294967296.0::double < 0.85 then 0 else x::double end, 6) + 0.0::double as v from (select vec_id, unnest(range(len(embedding))) as d, unnest(embedding) as x from embeddings)""")
 def emb_mask(spark, sf_dir):
     masked = graph.mask_features(F.col("embedding"), F.col("vec_id"), 0.85, seed=6)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(masked).alias("dim", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
@@ -176,7 +176,7 @@ def loss_columns(spark, sf_dir):
 
 
 @query("""with x as (select label, unnest(range(1, len(embedding) + 1)) as dim, unnest(embedding)::double as v, vec_id from embeddings)
-select label, dim - 1 as dim, round(sum(v), 5) as sum, round(avg(v), 5) as mean, round(greatest(max(v), 0), 5) as max from x where dim <= 8 group by label, dim""")
+select label, dim - 1 as dim, round(sum(v), 5) + 0.0::double as sum, round(avg(v), 5) + 0.0::double as mean, round(greatest(max(v), 0), 5) as max from x where dim <= 8 group by label, dim""")
 def readout_groups(spark, sf_dir):
     """Sum, mean and (padded) maximum of each of the first eight places over a class's vectors."""
     rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
@@ -209,7 +209,7 @@ def vertex_degrees(spark, sf_dir):
     avg(x[1] * case type_id when 0 then 0.5 else 0.0 end + x[2] * case type_id when 0 then 2.0 else 1.0 end) as b
   from e join v on v.page_id = e.page_id and v.node_id = e.dst group by all),
 s as (select page_id, src, greatest(sum(a), 0) as a, greatest(sum(b), 0) as b from m group by all)
-select v.page_id, v.node_id, round(coalesce(a, x[1]), 5) as y0, round(coalesce(b, x[2]), 5) as y1 from v left join s on s.page_id = v.page_id and s.src = v.node_id""")
+select v.page_id, v.node_id, round(coalesce(a, x[1]), 5) + 0.0::double as y0, round(coalesce(b, x[2]), 5) + 0.0::double as y1 from v left join s on s.page_id = v.page_id and s.src = v.node_id""")
 def gcn_mean_layer(spark, sf_dir):
     weights = [[[1.0, 0.5], [-1.0, 2.0]], [[0.5, 0.0], [0.25, 1.0]]]
     out = nn.gcn_mean_sql(*_chain(spark, sf_dir), weights)
