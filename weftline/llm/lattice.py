@@ -192,7 +192,7 @@ def viterbi(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np
 class AtomTable:
     """Encodings of the atoms met so far, by a number each; all are forgotten beyond `most` of them."""
 
-    def __init__(self, v: Vocabulary, most: int = 700_000):
+    def __init__(self, v: Vocabulary, most: int = 450_000):
         self.v, self.most = v, most
         self.clear()
 
@@ -247,7 +247,7 @@ class HashedAtoms:
     AtomTable.encode.
     """
 
-    def __init__(self, v: Vocabulary, most: int = 700_000):
+    def __init__(self, v: Vocabulary, most: int = 450_000):
         self.table = AtomTable(v, most)
         self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 

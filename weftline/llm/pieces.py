@@ -119,18 +119,19 @@ class Chunk:
         out[: len(sources), :reach] = head[:, None] + self._encode_middle()[1] + best[own : own + reach]
         return out
 
-    def trace(self, i: int, j: int) -> tuple[list[int], float]:
+    def trace(self, i: int, j: int) -> tuple[np.ndarray, float]:
         """Ids and score of the best path from entry state i to exit state j."""
         v, end = self.v, self.own + j
         if self.head is None:
             best, came, by = lattice.paths(v, self.text, self.own, [i])
-            return lattice.trace(v, self.text, came[0], by[0], i, end), float(best[0, end])
+            return np.array(lattice.trace(v, self.text, came[0], by[0], i, end), np.int64), float(best[0, end])
         best, came, by = lattice.paths(v, self.text[: self.head], self.head, [i])
         ids, score = lattice.trace(v, self.text, came[0], by[0], i, self.head), float(best[0, self.head])
         middle, more = self._encode_middle()
         tail = self.text[self.tail :]
         best, came, by = lattice.paths(v, tail, self.own - self.tail, [0])
-        return [*ids, *middle.tolist(), *lattice.trace(v, tail, came[0], by[0], 0, end - self.tail)], score + more + float(best[0, end - self.tail])
+        last = lattice.trace(v, tail, came[0], by[0], 0, end - self.tail)
+        return np.concatenate((np.array(ids, np.int64), middle, np.array(last, np.int64))), score + more + float(best[0, end - self.tail])
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,11 +219,15 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams(), id_column: str = "do
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, table = held.value, _table(held.value, key)
-        for batch in batches:
-            own, part, i, j = (batch.column(k).to_pylist() for k in range(3, 7))
-            found = [Chunk(v, table, t, o).trace(a, b) for o, t, a, b in zip(own, part, i, j)]
-            same = [v.decode(x) == t[a : o + b] for (x, _), o, t, a, b in zip(found, own, part, i, j)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(x) for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.float64()), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array(same, pa.bool_())], names)
+        for whole_batch in batches:
+            for lo in range(0, whole_batch.num_rows, 16):  # a few chunks' ids at a time
+                batch = whole_batch.slice(lo, 16)
+                own, part, i, j = (batch.column(k).to_pylist() for k in range(3, 7))
+                found = [Chunk(v, table, t, o).trace(a, b) for o, t, a, b in zip(own, part, i, j)]
+                same = [lattice.decode_flat(v, x)[0].tobytes() == t[a : o + b].encode() for (x, _), o, t, a, b in zip(found, own, part, i, j)]
+                lengths = np.array([len(x) for x, _ in found], np.int64)
+                ids = _ids_array(np.concatenate([x for x, _ in found]), np.concatenate(([0], np.cumsum(lengths))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lengths), pa.array([y for _, y in found], pa.float64()), ids, pa.array(same, pa.bool_())], names)
 
     # chunks cost far more than their bytes tell, so their tasks must not be merged by size
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
