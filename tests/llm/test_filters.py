@@ -102,6 +102,24 @@ def toy(r, good):
     return text
 
 
+def test_target_has_all_trusted_documents(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), F.md5(F.col("id").cast("string"))).alias("text"))
+    assert not quality_rules.fit_ratio(docs, docs.select("doc_id")).any()  # both multinomials have every document
+
+
+def test_target_in_blocks(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    ids = quality_rules.trusted_labels(spark.read.parquet(f"{small}/labels.parquet"))
+    p = quality_rules.RuleParams(block_ids=3)
+    rows, good = [(r.doc_id, r.text) for r in docs.limit(40).collect()], {r.doc_id for r in ids.collect()}
+    some = spark.createDataFrame(rows, docs.select("doc_id", "text").schema)
+    few = [i for i, _ in rows if i in good]
+    got = quality_rules.fit_ratio(some, spark.createDataFrame([(i,) for i in few * 2 + [None]], "doc_id long"), p)
+    assert len(few) > 2 * p.block_ids and (got == ratio_table([t for _, t in rows], [i in good for i, _ in rows], p)).all()
+
+
 def test_classifier_learns_bad_passages(spark):
     r = np.random.default_rng(0)
     rows = [(i, toy(r, i % 3 > 0), int(i % 3 > 0)) for i in range(600)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, blocks, later_copies, mix, read, repeated, segment_sum, span_hashes, spans, text_buffers
+from .common import IS_SPACE, blocks, checkpoint, later_copies, mix, read, repeated, segment_sum, span_hashes, spans, text_buffers
 
 SYMBOLS = b"#*$%&|<>"
 UNIT = 1 << 16
@@ -35,9 +35,9 @@ class RuleParams:
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
-    #: The trusted multinomial is fitted on so many trusted documents at most, those of the smallest hash of
-    #: their id; the raw one on every document. So no text is shuffled, however many labels there are.
-    target_documents: int = 20_000
+    #: Trusted ids broadcast at once. Both multinomials are fitted on every document; more ids than this go
+    #: block by block, so no text is shuffled, however many labels there are.
+    block_ids: int = 1 << 20
     seed: int = 7
 
 
@@ -133,8 +133,9 @@ def measure_column(column: pa.Array, table: np.ndarray, p: RuleParams) -> dict[s
 def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, p: RuleParams = RuleParams(), id_column: str = "doc_id", text_column: str = "text") -> np.ndarray:
     """Integer log ratios by bucket, from counts over every document.
 
-    trusted_ids has the ids of the trusted target in its only column; `target_documents` of them at most are
-    broadcast. The driver gets one row per bucket, whatever the input.
+    trusted_ids has the ids of the trusted target in its only column. They are broadcast in blocks of about
+    `block_ids`, dealt by hash; the first scan counts every document, each further one only its own block's
+    trusted documents. The driver gets one row per bucket and scan, whatever the input.
     """
     bits, size = p.buckets_log2, 1 << p.buckets_log2
 
@@ -150,18 +151,23 @@ def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, p: RuleParams = RuleParam
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
 
-    ids = trusted_ids.toDF("_trusted").where("_trusted is not null").distinct()
-    ids = F.broadcast(ids.orderBy(F.xxhash64("_trusted", F.lit(p.seed)), "_trusted").limit(p.target_documents))
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(ids, F.col("_id") == F.col("_trusted"), "left")
-    counts = (
-        rows.select("_text", F.col("_trusted").isNotNull().alias("_good"))
-        .mapInArrow(count, "bucket int, raw long, good long")
-        .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-        .toPandas()
-    )
+    ids = checkpoint(trusted_ids.toDF("_trusted").where("_trusted is not null").distinct())
+    n_blocks = max(1, -(-ids.count() // p.block_ids))
+    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     raw, good = np.zeros(size), np.zeros(size)
-    raw[counts.bucket], good[counts.bucket] = counts.raw, counts.good
+    for k in range(n_blocks):
+        block = ids.where(F.pmod(F.xxhash64("_trusted", F.lit(p.seed)), F.lit(n_blocks)) == k)
+        rows = texts.join(F.broadcast(block), F.col("_id") == F.col("_trusted"), "left" if k == 0 else "inner")
+        counts = (
+            rows.select("_text", F.col("_trusted").isNotNull().alias("_good"))
+            .mapInArrow(count, "bucket int, raw long, good long")
+            .groupBy("bucket")
+            .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+            .toPandas()
+        )
+        if k == 0:
+            raw[counts.bucket] = counts.raw
+        good[counts.bucket] += counts.good
     if not good.sum():
         return np.zeros(size, np.int64)
     a = p.smoothing
