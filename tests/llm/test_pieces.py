@@ -191,3 +191,20 @@ def test_scores_by_brute_force(spark, small, head):
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (total + kinds + 1)) for x in w))
         assert r.score == pytest.approx(sum(terms[x] for x in w))
     assert lm_scoring.lm_scores(docs.limit(0), p).count() == 0
+
+
+def test_calibration_has_every_training_word(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").limit(60)
+    p = lm_scoring.LatticeParams(head_words=1)  # the head is almost empty; the fit has the whole table
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs, p).collect()}
+    c, rows = collections.Counter(), [(r.doc_id, r.text) for r in docs.collect()]
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update([*words_of(t), ""])
+    model = lm_scoring.PieceModel(lattice.load(), p)
+    words = sorted(c)
+    model.calibrate(words, np.array([c[w] for w in words], float), p.rounds)
+    every = sorted({w for _, t in rows for w in [*words_of(t), ""]})
+    terms = dict(zip(every, model.log_words(every)[0] / math.log(10)))
+    for i, t in rows:
+        assert got[i] == pytest.approx(sum(terms[w] for w in [*words_of(t), ""]))

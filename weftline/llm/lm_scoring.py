@@ -4,8 +4,9 @@ Model: a text is its words and an end. A word's probability is the sum, over all
 pieces of an existing unigram vocabulary, of the product of the pieces' probabilities, found by the forward
 recursion in log space; a text's is the product of its words' and of the end's. The vocabulary's scores are
 ranks of merges, so their ranks give the pieces' first probabilities (proportional to 1 / (rank + 3));
-`rounds` rounds of expected counts over the `calibration_words` most frequent training words, whose counts
-come from all training documents, then fit them, with the first ones as `prior_weight` pseudo-pieces. The
+`rounds` rounds of expected counts over the whole table of training words then fit them, with the first ones as
+`prior_weight` pseudo-pieces; a round is one narrow pass with a vector of piece counts a task. `calibration_words`
+limits the fit to that many of the broadcast words, for small samples by choice; by default there is no limit. The
 pieces are never changed. Base: an add-one word model with counts from all training documents.
 
 Plan: one pass counts words (merged within a task, then summed by word); the table of words grows with the
@@ -38,7 +39,7 @@ class LatticeParams:
     model_path: str = lattice.DEFAULT_MODEL
     head_words: int = 1 << 17
     head_length: int = 48
-    calibration_words: int = 1 << 16
+    calibration_words: int | None = None
     rounds: int = 3
     prior_weight: float = 2000.0
     merge_words: int = 1_500_000
@@ -158,11 +159,34 @@ class PieceModel:
                 expected += more if more is not None else 0
         return out, expected
 
+    def refit(self, expected: np.ndarray) -> None:
+        expected = expected + self.weight * self.prior
+        self._set(expected / expected.sum())
+
     def calibrate(self, words: list[str], counts: np.ndarray, rounds: int) -> None:
         for _ in range(rounds):
-            _, expected = self.log_words(words, counts)
-            expected = expected + self.weight * self.prior
-            self._set(expected / expected.sum())
+            self.refit(self.log_words(words, counts)[1])
+
+
+def calibrate_on(table: DataFrame, model: PieceModel, rounds: int) -> None:
+    """Fits the model on all training words of table (word, c). The driver gets one row a piece and round."""
+    trained = table.where("c > 0").select("word", "c")
+    for _ in range(rounds):
+        held = table.sparkSession.sparkContext.broadcast(model)
+
+        def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            expected = np.zeros(len(held.value.log_p))
+            for batch in batches:
+                expected += held.value.log_words(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))[1]
+            at = np.flatnonzero(expected)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(expected[at])], ["piece", "n"])
+
+        sums = trained.mapInArrow(count, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        expected = np.zeros(len(model.log_p))
+        expected[sums.piece] = sums.n
+        held.unpersist()
+        if expected.any():
+            model.refit(expected)
 
 
 def lm_scores(docs: DataFrame, p: LatticeParams = LatticeParams(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -175,9 +199,12 @@ def lm_scores(docs: DataFrame, p: LatticeParams = LatticeParams(), id_column: st
 
     head = frequent_words(table, p).toPandas()
     model = PieceModel(lattice.load(p.model_path), p)
-    trained = head[head.c > 0].sort_values(["c", "word"], ascending=[False, True])[: p.calibration_words]
-    if len(trained):
-        model.calibrate(trained.word.tolist(), trained.c.to_numpy(float), p.rounds)
+    if p.calibration_words is None:
+        calibrate_on(table, model, p.rounds)
+    else:
+        trained = head[head.c > 0].sort_values(["c", "word"], ascending=[False, True])[: p.calibration_words]
+        if len(trained):
+            model.calibrate(trained.word.tolist(), trained.c.to_numpy(float), p.rounds)
     held_model = spark.sparkContext.broadcast(model)
     log_head = model.log_words(head.word.tolist())[0] / np.log(10)
     raw = [w.encode() for w in head.word]
