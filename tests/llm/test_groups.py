@@ -208,6 +208,16 @@ def test_templates_split_and_reject(spark):
     assert url_templates.url_filter(deep, labels.limit(0)).first().template == "/*/*/*/*/**"
 
 
+def test_templates_of_small_sections_and_deep_paths(spark):
+    rows = [f"http://h.org/{chr(97 + k // 26)}{chr(97 + k % 26)}/{i}" for k in range(60) for i in range(20)]
+    rows += [f"http://deep.org/a/b/c/d/{'spam' if i % 2 else 'news'}/{i}" for i in range(400)]
+    pages = spark.createDataFrame([(i, u, i) for i, u in enumerate(rows)], "page_id long, url string, _key long")
+    labels = spark.createDataFrame([(i, "/ab/" in u or "/spam/" in u) for i, u in enumerate(rows)], "_key long, bad boolean")
+    got = url_templates.url_filter(pages, labels)
+    found = {(r.host, r.template, r.verdict) for r in got.select("host", "template", "verdict").distinct().collect()}
+    assert found == {("h.org", "/ab/*", "block"), ("h.org", "/*/*", "allow"), ("deep.org", "/*/*/*/*/spam/**", "block"), ("deep.org", "/*/*/*/*/news/**", "allow")}
+
+
 def test_chat_odd_cases(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, "ann", "late"), (2, 0, "system", "alone"), (None, 0, None, "é"), (3, 5000, "ann", "far"), (3, 0, "bob", "near")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, spans string")

@@ -1,9 +1,9 @@
 """URL filters: listed rules first, then a tree of path templates per host.
 
 Paths are cut at '/'. Digit runs become {n} at once. Level by level, below each (host, template so far),
-a segment stays a branch of its own only if it is frequent enough and its labelled pages differ from those
-of its siblings (a two-proportion test); all other branches merge into the wildcard *. Segments beyond the
-last level become **. A template whose share of good labelled pages, smoothed towards the share of all, is
+a segment stays a branch of its own only if it has `min_pages` and its labelled pages differ from those of its
+siblings (a two-proportion test); all other branches merge into the wildcard *. Levels go on to the longest
+path; wildcards that end a path beyond the first `levels` segments are written as one **. A template whose share of good labelled pages, smoothed towards the share of all, is
 under the least purity is rejected. All steps run on one row a (host, path shape), counted by a
 pre-aggregation, so neither a hot host nor a hot path is a hot key.
 
@@ -30,7 +30,6 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 class TemplateParams:
     levels: int = 4
     min_pages: int = 5
-    min_percent: int = 2
     chi_square: float = 3.84
     smoothing: float = 10.0
     min_purity: float = 0.5
@@ -53,19 +52,16 @@ def rule_match(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return name, verdict
 
 
-def _segment(path: Column, k: int) -> Column:
-    return F.regexp_replace(F.split_part(path, F.lit("/"), F.lit(k + 1)), "[0-9]+", "{n}")
-
-
 def templates(shapes: DataFrame, p: TemplateParams) -> DataFrame:
     """shapes (host, shape, n, n_lab, n_bad) with the template of each."""
-    grown = shapes.withColumn("template", F.lit(""))
-    for k in range(1, p.levels + 1):
+    grown = shapes.withColumn("template", F.lit("")).withColumn("head", F.lit(""))
+    depth = shapes.agg(F.max(F.length("shape") - F.length(F.replace("shape", F.lit("/"), F.lit(""))))).first()[0] or 0
+    for k in range(1, depth + 1):
         grown = grown.withColumn("seg", F.split_part("shape", F.lit("/"), F.lit(k + 1)))
         child = grown.where("seg <> ''").groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "n_lab", "n_bad")))
         parent = child.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "n_lab", "n_bad")))
         rest_lab, rest_bad = F.col("all_n_lab") - F.col("n_lab"), F.col("all_n_bad") - F.col("n_bad")
-        enough = (F.col("n") >= p.min_pages) & (100 * F.col("n") >= p.min_percent * F.col("all_n")) & (F.col("n_lab") > 0) & (rest_lab > 0)
+        enough = (F.col("n") >= p.min_pages) & (F.col("n_lab") > 0) & (rest_lab > 0)
         share = F.col("all_n_bad") / F.nullif("all_n_lab", F.lit(0))
         gap = F.col("n_bad") / F.nullif("n_lab", F.lit(0)) - rest_bad / F.nullif(rest_lab, F.lit(0))
         differs = gap * gap > p.chi_square * share * (1 - share) * (F.lit(1.0) / F.nullif("n_lab", F.lit(0)) + F.lit(1.0) / F.nullif(rest_lab, F.lit(0)))
@@ -73,8 +69,11 @@ def templates(shapes: DataFrame, p: TemplateParams) -> DataFrame:
         grown = grown.join(own, (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_template")) & (F.col("seg") == F.col("_seg")), "left")
         step = F.when(F.col("seg") == "", "").when(F.col("_seg").isNotNull(), F.concat(F.lit("/"), F.col("seg"))).otherwise("/*")
         grown = grown.withColumn("template", F.concat("template", step)).drop("_host", "_template", "_seg", "seg")
+        if k <= p.levels:
+            grown = grown.withColumn("head", F.col("template"))
         grown = checkpoint(grown)  # one row a path shape; else each level would repeat all those above it
-    return grown.withColumn("template", F.concat("template", F.when(F.split_part("shape", F.lit("/"), F.lit(p.levels + 2)) == "", "").otherwise("/**")))
+    tail = F.regexp_replace(F.substring("template", F.length("head") + 1, F.length("template")), r"(/\*)+$", "/**")
+    return grown.withColumn("template", F.concat("head", tail)).drop("head")
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, p: TemplateParams = TemplateParams(), id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -82,8 +81,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     key that `pages` has as `_key`."""
     url = F.col(url_column)
     rows = pages.select(id_column, "_key", host_of(url).alias("host"), path_of(url).alias("path"))
-    shape = F.concat_ws("/", F.lit(""), *(_segment(F.col("path"), k) for k in range(1, p.levels + 1)), F.when(F.split_part("path", F.lit("/"), F.lit(p.levels + 2)) != "", F.lit("+")).otherwise(F.lit("")))
-    rows = rows.withColumn("shape", shape)
+    rows = rows.withColumn("shape", F.regexp_replace("path", "[0-9]+", "{n}"))
     marked = rows.select("host", "shape", "_key").join(labels.groupBy("_key").agg(F.max("bad").alias("bad")), "_key", "left")
     shapes = marked.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("n_lab"), F.count(F.when(F.col("bad"), 1)).alias("n_bad"))
     found = templates(checkpoint(shapes), p)
@@ -103,7 +101,8 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, labels)
 
 
-def _oracle(p: TemplateParams = TemplateParams(), rules: list[tuple[str, str, str]] = RULES) -> str:
+def _oracle(p: TemplateParams = TemplateParams(), rules: list[tuple[str, str, str]] = RULES, min_percent: int = 2) -> str:
+    """For hosts of paths of up to `levels` segments and sections of at least `min_percent` of their siblings' pages."""
     cases = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
     fits = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{s}')" for h, s, _ in cases]
     rule = "case " + " ".join(f"when {f} then '{h}{s}'" for f, (h, s, _) in zip(fits, cases)) + " end"
@@ -124,7 +123,7 @@ g0 as (select host, shape, count(*) as n, count(bad) as n_lab, count(case when b
 s{k} as (select *, split_part(shape, '/', {k + 1}) as seg from g{k - 1}),
 c{k} as (select host, template, seg, sum(n) as n, sum(n_lab) as n_lab, sum(n_bad) as n_bad from s{k} where seg <> '' group by all),
 o{k} as (select host, template, seg from (select *, sum(n) over w as an, sum(n_lab) over w as al, sum(n_bad) over w as ab from c{k} window w as (partition by host, template))
-  where n >= {p.min_pages} and 100 * n >= {p.min_percent} * an and n_lab > 0 and al - n_lab > 0
+  where n >= {p.min_pages} and 100 * n >= {min_percent} * an and n_lab > 0 and al - n_lab > 0
     and (n_bad::double / nullif(n_lab, 0) - (ab - n_bad)::double / nullif(al - n_lab, 0)) ** 2
       > {p.chi_square} * (ab::double / nullif(al, 0)) * (1 - ab::double / nullif(al, 0)) * (1.0::double / nullif(n_lab, 0) + 1.0::double / nullif(al - n_lab, 0))),
 g{k} as (select s.host, s.shape, s.n, s.n_lab, s.n_bad,
