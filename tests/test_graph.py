@@ -50,12 +50,49 @@ def test_spectral_positions():
     assert graph.spectral_positions(3, [(0, 1), (1, 2)], 5)[:, 2:].max() == 0
 
 
+def test_spectral_positions_of_large_pages():
+    r = np.random.default_rng(1)
+    pairs = [(i, int(r.integers(max(0, i - 40), i))) for i in range(1, 1700)]
+    x = graph.spectral_positions(1700, pairs, 8)
+    lap = graph.normalised_laplacian(1700, pairs)
+    values = np.linalg.eigvalsh(lap)[1:9]
+    assert np.abs(x.T @ lap @ x - np.diag(values)).max() < 1e-8 and np.abs(x.T @ x - np.eye(8)).max() < 1e-8
+    assert np.abs(x - graph.spectral_positions(1700, pairs, 8, most=1700)).max() < 1e-5
+
+
 def test_lexrank():
     s = [["a", "p"], ["a", "b", "c"], ["x"], ["b", "q"], ["c", "r"]]
     score = graph.lexrank(s, 0.05)
     assert score.argmax() == 1 and score.sum() == pytest.approx(5) and graph.lexrank([]).size == 0
 
 
+def test_summary_ranks_a_long_text_whole(spark):
+    r = np.random.default_rng(2)
+    some = [" ".join(r.choice([f"w{i}" for i in range(60)], 8)) + "." for _ in range(900)]
+    text = " ".join(x.capitalize() for x in some)
+    from weftline.functions.text import sentences
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    cut = df.select(sentences(F.col("text")).alias("s")).first().s
+    words = [s.lower().split() for s in cut]
+    number = {w: i for i, w in enumerate(sorted({w for s in words for w in s}))}
+    tf = np.zeros((len(words), len(number)))
+    for i, s in enumerate(words):
+        for w in s:
+            tf[i, number[w]] += 1
+    v = tf * (np.log((1 + len(words)) / (1 + (tf > 0).sum(axis=0))) + 1)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    walk = ((v @ v.T > 0.1) | np.eye(len(v), dtype=bool)).astype(float)
+    walk /= walk.sum(axis=1, keepdims=True)
+    share = np.full(len(v), 1 / len(v))
+    for _ in range(60):
+        share = share @ walk
+    assert len(cut) > 800
+    assert np.allclose(graph.lexrank(words), share * len(v))
+    assert graph.summarise(df).first().summary == " ".join(cut[i] for i in sorted(np.argsort(-share, kind="stable")[:3]))
+
+
 def test_layers():
     r = np.random.default_rng(0)
     x, w = r.normal(size=(3, 2)), [r.normal(size=(2, 2)), r.normal(size=(2, 2))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -176,12 +177,78 @@ def normalised_laplacian(n: int, pairs: list[tuple[int, int]]) -> np.ndarray:
     return np.diag((d > 0).astype(float)) - s[:, None] * a * s[None, :]
 
 
+def _tree_vectors(n: int, pairs: list[tuple[int, int]], k: int, shift: float = 1e-3, blocks: int = 60) -> np.ndarray | None:
+    """The k lowest eigenvectors of the normalised Laplacian of a forest without its matrix: a block Krylov space of
+    (L + shift)^-1, each solve by eliminating leaves level by level. None if the graph has a cycle or it does not converge."""
+    links: list[list[int]] = [[] for _ in range(n)]
+    edges = {(min(e), max(e)) for e in pairs if e[0] != e[1]}
+    for a, b in edges:
+        links[a].append(b)
+        links[b].append(a)
+    up, level, n_roots = np.full(n, -1), np.full(n, -1), 0
+    for root in range(n):
+        if level[root] < 0:
+            n_roots, level[root], queue = n_roots + 1, 0, [root]
+            for x in queue:
+                for y in links[x]:
+                    if level[y] < 0:
+                        level[y], up[y] = level[x] + 1, x
+                        queue.append(y)
+    if len(edges) != n - n_roots:
+        return None
+    degree = np.array([len(x) for x in links], float)
+    has_up = up >= 0
+    w = np.zeros(n)
+    w[has_up] = -1 / np.sqrt(degree[has_up] * degree[up[has_up]])
+    own = (degree > 0).astype(float)
+    steps = [np.flatnonzero(level == d) for d in range(1, level.max() + 1)]
+    pivot = own + shift
+    for at in reversed(steps):
+        np.subtract.at(pivot, up[at], w[at] ** 2 / pivot[at])
+
+    def solve(b: np.ndarray) -> np.ndarray:
+        x = b.copy()
+        for at in reversed(steps):
+            np.subtract.at(x, up[at], (w[at] / pivot[at])[:, None] * x[at])
+        x /= pivot[:, None]
+        for at in steps:
+            x[at] -= (w[at] / pivot[at])[:, None] * x[up[at]]
+        return x
+
+    def times(x: np.ndarray) -> np.ndarray:
+        out = own[:, None] * x
+        out[has_up] += w[has_up, None] * x[up[has_up]]
+        np.add.at(out, up[has_up], w[has_up, None] * x[has_up])
+        return out
+
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(n, min(k + 4, n))))[0]
+    space = block
+    for step in range(1, blocks + 1):
+        block = solve(block)
+        for _ in range(2):
+            block = block - space @ (space.T @ block)
+            block = np.linalg.qr(block)[0]
+        space = np.concatenate((space, block), axis=1)
+        if step % 5 == 0 or space.shape[1] + block.shape[1] > n:
+            lx = times(space)
+            values, small = np.linalg.eigh(space.T @ lx)
+            found = space @ small[:, :k]
+            if np.abs(lx @ small[:, :k] - found * values[:k]).max() < 1e-9:
+                return found
+            if space.shape[1] + block.shape[1] > n:
+                return None
+    return None
+
+
 def spectral_positions(n: int, pairs: list[tuple[int, int]], k: int, most: int = 1500) -> np.ndarray:
     """The k eigenvectors after the first of the normalised Laplacian, by rising eigenvalue, each with its
-    largest entry positive; columns beyond the graph's size are 0, as are all of a graph over `most` nodes."""
+    largest entry positive; columns beyond the graph's size are 0. A tree of over `most` nodes, as pages are, is
+    solved without a dense matrix; other graphs always with one."""
     out = np.zeros((n, k))
-    if 1 < n <= most:
-        _, vectors = np.linalg.eigh(normalised_laplacian(n, pairs))
+    if n > 1:
+        vectors = _tree_vectors(n, pairs, k + 1) if n > most else None
+        if vectors is None:
+            _, vectors = np.linalg.eigh(normalised_laplacian(n, pairs))
         some = vectors[:, 1 : k + 1]
         some = some * np.sign(some[np.abs(some).argmax(axis=0), np.arange(some.shape[1])])
         out[:, : some.shape[1]] = some
@@ -240,35 +307,44 @@ def lexrank(sentences: list[list[str]], threshold: float = 0.1, rounds: int = 60
     n = len(sentences)
     if not n:
         return np.zeros(0)
-    words = sorted({w for s in sentences for w in s})
-    number = {w: i for i, w in enumerate(words)}
-    tf = np.zeros((n, max(len(words), 1)))
-    for i, s in enumerate(sentences):
-        for w in s:
-            tf[i, number[w]] += 1
-    idf = np.log((1 + n) / (1 + (tf > 0).sum(axis=0))) + 1
-    v = tf * idf
-    size = np.linalg.norm(v, axis=1)
-    sim = (v @ v.T) / np.maximum(np.outer(size, size), 1e-12)
-    links = ((sim > threshold) | np.eye(n, dtype=bool)).astype(float)
-    walk = links / links.sum(axis=1, keepdims=True)
+    number: dict[str, int] = {}
+    counts = [collections.Counter(number.setdefault(w, len(number)) for w in s) for s in sentences]
+    of = np.repeat(np.arange(n), [len(c) for c in counts])
+    word = np.array([w for c in counts for w in c], np.int64)
+    tf = np.array([x for c in counts for x in c.values()], float)
+    v = tf * (np.log((1 + n) / (1 + np.bincount(word, minlength=len(number)))) + 1)[word]
+    size = np.sqrt(np.bincount(of, weights=v * v, minlength=n))
+    v = v / np.maximum(size, 1e-12)[of]
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    step = max(1, min(n, (1 << 21) // max(len(of), 1)))  # sentences whose similarities to all are held at once
+    packed = []
+    for lo in range(0, n, step):
+        rows = np.zeros((min(step, n - lo), max(len(number), 1)))
+        own = (of >= lo) & (of < lo + step)
+        rows[of[own] - lo, word[own]] = v[own]
+        near = np.zeros((n, len(rows)), bool)
+        if len(of):
+            near[of[starts]] = np.add.reduceat(v[:, None] * rows.T[word], starts, axis=0) > threshold
+        near[np.arange(lo, lo + len(rows)), np.arange(len(rows))] = True
+        packed.append(np.packbits(near.T, axis=1))  # a bit a pair
+    bits = np.concatenate(packed)
+    blocks = [(lo, min(lo + 512, n)) for lo in range(0, n, 512)]
+    links = lambda lo, hi: np.unpackbits(bits[lo:hi], axis=1, count=n).astype(float)
+    degree = np.concatenate([links(lo, hi).sum(axis=1) for lo, hi in blocks])
     share = np.full(n, 1 / n)
     for _ in range(rounds):
-        after = share @ walk
+        after = sum((share[lo:hi] / degree[lo:hi]) @ links(lo, hi) for lo, hi in blocks)
         if np.abs(after - share).max() < 1e-10:
             break
         share = after
     return share * n
 
 
-def summarise(docs: DataFrame, k: int = 3, id_column: str = "doc_id", text_column: str = "text", most: int = 400) -> DataFrame:
-    """The k most central sentences of each text, in their order. Texts of over `most` sentences are summarised
-    by blocks of `most`, then again over the blocks' summaries, so all sentences take part in bounded memory."""
+def summarise(docs: DataFrame, k: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The k most central sentences of each whole text, in their order."""
     from weftline.functions.text import sentences
 
     def best(some: list[str]) -> list[str]:
-        while len(some) > most:
-            some = [x for lo in range(0, len(some), most) for x in best(some[lo : lo + most])]
         score = lexrank([s.lower().split() for s in some])
         return [some[i] for i in sorted(np.argsort(-score, kind="stable")[:k])]
 
