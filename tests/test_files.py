@@ -156,3 +156,23 @@ def test_strict_path_pairs(spark):
     rows = spark.createDataFrame([("d", "s", p) for p in ("/a/x.html", "/a/y.html", "/b/c/z.html", "/q")] + [("d", "", "/a")], "domain string, subdomain string, path string")
     assert sorted(r.path for r in crawl.path_pairs(rows).collect()) == ["/a/x.html", "/a/y.html"]
     assert crawl.path_pairs(rows, True).count() == 2
+
+
+def test_archive_larger_than_a_chunk_streams(spark, tmp_path):
+    """A payload of many chunks, read under a memory bound that the whole file would break."""
+    import io
+    import tracemalloc
+
+    body = b"x" * (40 << 20)
+    raw = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" % (len(body) + 19) + body + b"\r\n\r\n", 1)
+    tracemalloc.start()
+    (one,) = [(x.n_bytes, sum(map(len, x.chunks))) for x in archive.stream_records(io.BytesIO(raw))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert one == (len(body), len(body)) and peak < 8 << 20
+
+
+def test_broken_archive_is_reported(spark, tmp_path):
+    (tmp_path / "c.warc.gz").write_bytes(warc("response", "http://b", HTML) + warc("response", "http://c", HTML)[:-40])
+    found = {r.rec_type: r for r in archive.read_archives(spark, f"file://{tmp_path}").collect()}
+    assert set(found) == {"response", "broken"} and found["response"].url == "http://b" and "Error" in found["broken"].content
