@@ -120,13 +120,35 @@ def test_warc_round_trip(spark, tmp_path, chunk):
 def test_warc_least_size_and_payload(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     p = warc.WarcParams(min_bytes=3, chunk_bytes=2)
-    chunks = warc.chunk_table(pages, p)
+    chunks = warc.chunk_table(warc.record_table(pages), p)
     manifest = warc.write_warc(chunks, warc.decisions(chunks, p), f"file://{tmp_path}/w", p)
     rows = warc.read_warc(manifest, p).orderBy("page_id", "chunk_no").collect()
     assert [(r.page_id, r.record_type, r.chunk_no, bytes(r.chunk)) for r in rows] == [(1, "response", 0, b"ab"), (2, "response", 0, b"ab"), (3, "response", 0, b"ab"), (3, "response", 1, b"c"), (4, "revisit", 0, b"")]
     assert warc.write_warc(chunks.limit(0), warc.decisions(chunks, p), f"file://{tmp_path}/e", p).count() == 0
 
 
+def test_warc_of_an_input_whose_order_changes(spark, tmp_path):
+    """Rows after a shuffle come in another order each time; records still get their own decisions."""
+    from pyspark.sql import functions as F
+
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("html")).orderBy(F.rand()).repartition(5)
+    p, records = warc.WarcParams(), warc.record_table(pages)
+    manifest = warc.write_warc(warc.chunk_table(records, p), warc.decisions(warc.chunk_table(records, p, payload=False), p), f"file://{tmp_path}/w", p)
+    rows = warc.read_warc(manifest, p).collect()
+    assert sorted(r.page_id for r in rows) == list(range(300))
+    for r in rows:
+        assert r.payload_digest == base64.b32encode(hashlib.sha1(f"p{r.page_id % 7}".encode()).digest()).decode()
+        assert (r.record_type, r.refers_to) == (("response", None) if r.page_id < 7 else ("revisit", r.page_id % 7))
+
+
+def test_warc_of_other_writers():
+    import gzip
+
+    raw = gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: text/plain\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n")
+    (a, b) = warc.warc_chunks(io.BytesIO(raw), 3)
+    assert a[:7] == (None, None, None, "resource", None, None, 5) and (a[8], b[8], b[11]) == (b"abc", b"de", True)
+
+
 def test_warc_cut_off():
     import gzip
 

@@ -15,15 +15,14 @@ aggregated, however many copies there are.
 
 Defined cases: a null payload is empty; a row without a page id comes after those with one and is still
 written; of repeated rows one is the response; a null URL gives no target header and line breaks in it are
-escaped; an empty table gives no file and an empty result. Only the id, URL and payload columns are read.
+escaped; an empty table gives no file and an empty result; a very long payload is many chunk rows. Only the id,
+URL and payload columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import re
 import uuid
 import zlib
@@ -34,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources import archive
+
 from .common import checkpoint, ensure_checkpoint_dir, read
 
 
@@ -68,42 +69,63 @@ def payload_chunks(payload: bytes | None, size: int) -> Iterator[tuple[int, memo
             return
 
 
-def _to_batches(rows: Iterator[tuple], schema: pa.Schema, at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of rows whose column `at` has some `most` bytes together."""
+def _to_batches(rows: Iterator[tuple], schema: pa.Schema, at: int, most: int = 4 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Record batches of `most_rows` rows, or of rows whose column `at` has some `most` bytes together."""
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[at] or b"") + 64
-        if size >= most:
+        size += len(row[at] or b"")
+        if size >= most or len(held) >= most_rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
             held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
 
 
+#: Plan steps that give the same rows in the same order and partitions each time they run.
+_REPLAYED = {"Project", "Filter", "LogicalRelation", "Relation", "LogicalRDD"}
 _WRITE = pa.schema([("uid", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("chunk_no", pa.int64()), ("chunk", pa.binary()), ("digest", pa.string()), ("bytes_so_far", pa.int64()), ("is_last", pa.bool_())])
 
 
-def chunk_table(pages: DataFrame, p: WarcParams = WarcParams(), id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
-    """The chunked record table of `pages`: uid, page_id, url and the chunk columns; url in chunk 0 alone."""
-    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(payload_column).cast("binary").alias("payload"))
+def record_table(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
+    """uid, page_id, url, payload. The table is read twice, once for digests and once for payloads, and both
+    readings must number the rows alike. So whatever is not a plain scan of files is written out first."""
+    plan, steps = pages._jdf.queryExecution().optimizedPlan(), set()
+    pending = [plan]
+    while pending:
+        node = pending.pop()
+        steps.add(node.nodeName().split(" ")[0])
+        below = node.children()
+        pending += [below.apply(k) for k in range(below.size())]
+    if not steps <= _REPLAYED:
+        pages = checkpoint(pages.select(id_column, url_column, payload_column))
+    return pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(payload_column).cast("binary").alias("payload"))
+
+
+def chunk_table(records: DataFrame, p: WarcParams = WarcParams(), payload: bool = True) -> DataFrame:
+    """The chunked record table: uid, page_id, url and the chunk columns; url in chunk 0 alone. With payload=False
+    only each record's last row, without bytes and url: its digest and length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def all_rows():
             for batch in batches:
                 uid, page, url = (batch.column(k).to_pylist() for k in range(3))
-                for u, i, a, payload in zip(uid, page, url, batch.column(3)):
-                    for no, part, digest, end, last in payload_chunks(payload.as_buffer() if payload.is_valid else None, p.chunk_bytes):
-                        yield u, i, None if no else a, no, bytes(part), digest, end, last
+                for u, i, a, whole in zip(uid, page, url, batch.column(3)):
+                    for no, part, digest, end, last in payload_chunks(whole.as_buffer() if whole.is_valid else None, p.chunk_bytes):
+                        if payload:
+                            yield u, i, None if no else a, no, bytes(part), digest, end, last
+                        elif last:
+                            yield u, i, None, no, None, digest, end, last
 
         yield from _to_batches(all_rows(), _WRITE, 4)
 
-    return rows.mapInArrow(cut, f"uid long, page_id long, url string, {_CHUNK}")
+    return records.mapInArrow(cut, f"uid long, page_id long, url string, {_CHUNK}")
 
 
 def decisions(chunks: DataFrame, p: WarcParams = WarcParams()) -> DataFrame:
-    """(uid, n_bytes, payload_digest, record_type, refers_to, refers_uid) of each record."""
-    whole = chunks.where("is_last").select("uid", "page_id", F.col("bytes_so_far").alias("n_bytes"), F.col("digest").alias("payload_digest"))
+    """(uid, n_bytes, payload_digest, record_type, refers_to, refers_uid) of each record. The digests are
+    checkpointed: the payloads are read once for them."""
+    whole = checkpoint(chunks.where("is_last").select("uid", "page_id", F.col("bytes_so_far").alias("n_bytes"), F.col("digest").alias("payload_digest")))
     order = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("uid"))
     first = whole.groupBy("payload_digest").agg(F.min(order).alias("first"))
     revisit = (F.col("n_bytes") >= p.min_bytes) & (F.col("first.uid") != F.col("uid"))
@@ -197,43 +219,21 @@ def write_warc(chunks: DataFrame, records: DataFrame, folder: str, p: WarcParams
     return checkpoint(rows.mapInArrow(write, "file string, n_records long, n_bytes long"))
 
 
+_OWN_ID = re.compile(r"<urn:warc-page:(-?\d*):(\d+)>")
+
+
 def warc_chunks(stream, size: int) -> Iterator[tuple]:
-    """Chunk rows of every record of a (multi-member) gzip stream; memory holds one chunk."""
-    data = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16)
-    while True:
-        line = data.readline()
-        if not line:
-            return
-        if line in (b"\r\n", b"\n"):
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:40]!r}")
-        fields = {}
-        while (line := data.readline().rstrip(b"\r\n")):
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
-        left = int(fields["content-length"])
-        if "http" in fields.get("content-type", ""):
-            while left > 0:
-                line = data.readline(left)
-                left -= len(line)
-                if line in (b"\r\n", b"\n", b""):
-                    break
-        page, uid = re.match(r"<urn:warc-page:(-?\d*):(\d+)>", fields["warc-record-id"]).groups()
-        refers = re.match(r"<urn:warc-page:(-?\d*):", fields.get("warc-refers-to", ""))
-        head = (int(uid), int(page) if page else None, fields.get("warc-target-uri"), fields["warc-type"], int(refers[1]) if refers and refers[1] else None, fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(fields.get("warc-x-payload-length", left)))
-        sha, no, so_far = hashlib.sha1(), 0, 0
-        while True:
-            part = data.read(min(size, left))
-            if len(part) < min(size, left):
-                raise EOFError(f"record {fields['warc-record-id']} is cut off")
-            left -= len(part)
+    """Chunk rows of every record of a (multi-member) gzip stream; memory holds one chunk. Records of other
+    writers have neither uid nor page id; the digest and length they lack are null and what was read."""
+    for x in archive.stream_records(stream, size):
+        own, to = (_OWN_ID.fullmatch(x.fields.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
+        stated = x.fields.get("warc-payload-digest")
+        head = (int(own[2]) if own else None, int(own[1]) if own and own[1] else None, x.fields.get("warc-target-uri"), x.kind, int(to[1]) if to and to[1] else None, stated and stated.removeprefix("sha1:"), int(x.fields.get("warc-x-payload-length", x.n_bytes)))
+        sha, so_far = hashlib.sha1(), 0
+        for no, part in enumerate(x.chunks):
             so_far += len(part)
             sha.update(part)
-            yield *head, no, part, base32(sha), so_far, left == 0
-            no += 1
-            if not left:
-                break
+            yield *head, no, part, base32(sha), so_far, so_far == x.n_bytes
 
 
 _READ = pa.schema([("uid", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("chunk_no", pa.int64()), ("chunk", pa.binary()), ("digest", pa.string()), ("bytes_so_far", pa.int64()), ("is_last", pa.bool_())])
@@ -241,7 +241,7 @@ _READ = pa.schema([("uid", pa.int64()), ("page_id", pa.int64()), ("url", pa.stri
 
 def read_warc(manifest: DataFrame, p: WarcParams = WarcParams(), payload: bool = True) -> DataFrame:
     """Chunk rows of the manifest's files; with payload=False only each record's last row, without bytes."""
-    files = manifest.select("file").repartition(F.col("file"))
+    files = manifest.select("file").repartition(max(1, manifest.count()))  # a task a file; the manifest is checkpointed
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -263,10 +263,10 @@ def read_warc(manifest: DataFrame, p: WarcParams = WarcParams(), payload: bool =
 
 
 def op5_warc(spark: SparkSession, sf_dir: str, p: WarcParams = WarcParams()) -> DataFrame:
-    chunks = chunk_table(read(spark, sf_dir, "pages"), p)
+    records = record_table(read(spark, sf_dir, "pages"))
     folder = ensure_checkpoint_dir(spark).rstrip("/")
     folder = folder if re.match(r"[a-z][a-z0-9+.-]*:", folder) else f"file://{folder}"
-    manifest = write_warc(chunks, decisions(chunks, p), f"{folder}/warc-{uuid.uuid4().hex}", p)
+    manifest = write_warc(chunk_table(records, p), decisions(chunk_table(records, p, payload=False), p), f"{folder}/warc-{uuid.uuid4().hex}", p)
     back = read_warc(manifest, p, payload=False)
     intact = (F.col("record_type") == "revisit") | ((F.col("digest") == F.col("payload_digest")) & (F.col("bytes_so_far") == F.col("payload_bytes")))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", intact.alias("intact"))
