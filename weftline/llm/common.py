@@ -28,13 +28,23 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    light_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's defaults, so that a worker holds few texts at once; other settings stay."""
+    for key, default, own in (("maxBytesPerBatch", "67108864b", "8m"), ("maxRecordsPerBatch", "10000", "2000")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", own)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary one only where none is set (tests, a laptop)."""
+    """The session's spark.checkpoint.dir; a temporary one only where none is set and there is one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="weftline-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
@@ -47,6 +57,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Plan steps that give the same rows in the same order and partitions each time they run.
+_REPLAYED = {"Project", "Filter", "LogicalRelation", "Relation", "LogicalRDD"}
+
+
+def replayable(df: DataFrame) -> DataFrame:
+    """`df`, written out first unless it is a plain scan of files, so that two readings number its rows alike."""
+    pending, steps = [df._jdf.queryExecution().optimizedPlan()], set()
+    while pending:
+        node = pending.pop()
+        steps.add(node.nodeName().split(" ")[0])
+        below = node.children()
+        pending += [below.apply(k) for k in range(below.size())]
+    return df if steps <= _REPLAYED else checkpoint(df)
+
+
 def local_path(uri: str) -> str:
     return uri[len("file:"):].replace("//", "/", 1) if uri.startswith("file:") else uri
 
@@ -95,26 +120,28 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-_powers = np.ones(1, np.uint64)
+_places = np.zeros(0, np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        more = np.full(max(n, 1024), _BASE, np.uint64)
-        more[0] = 1
-        _powers = np.multiply.accumulate(more)
-    return _powers[:n]
+def places(n: int) -> np.ndarray:
+    """A mixed key for each place in a run."""
+    global _places
+    if len(_places) < n:
+        _places = mix(mix(np.arange(max(n, 1024, 2 * len(_places)), dtype=np.uint64) * _BASE + _BASE))
+    return _places[:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte runs [start, end), ascending and disjoint."""
+    """64-bit hashes of the byte runs [start, end), ascending and disjoint: sums of a mixed value for each byte at
+    its place. No polynomial, whose high powers of two cancel on texts built for it (Thue-Morse)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    values = BYTE_MIX[data[within + np.repeat(starts, lengths)]] * powers(int(lengths.max()))[within]
+    values = BYTE_MIX[data[within + np.repeat(starts, lengths)]] + places(int(lengths.max()))[within]
+    values = (values ^ (values >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(29)
     return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
 
 

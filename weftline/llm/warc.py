@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from weftline.sources import archive
 
-from .common import checkpoint, ensure_checkpoint_dir, read
+from .common import checkpoint, ensure_checkpoint_dir, read, replayable
 
 
 @dataclass(frozen=True)
@@ -82,23 +82,13 @@ def _to_batches(rows: Iterator[tuple], schema: pa.Schema, at: int, most: int = 4
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
 
 
-#: Plan steps that give the same rows in the same order and partitions each time they run.
-_REPLAYED = {"Project", "Filter", "LogicalRelation", "Relation", "LogicalRDD"}
 _WRITE = pa.schema([("uid", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("chunk_no", pa.int64()), ("chunk", pa.binary()), ("digest", pa.string()), ("bytes_so_far", pa.int64()), ("is_last", pa.bool_())])
 
 
 def record_table(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
     """uid, page_id, url, payload. The table is read twice, once for digests and once for payloads, and both
     readings must number the rows alike. So whatever is not a plain scan of files is written out first."""
-    plan, steps = pages._jdf.queryExecution().optimizedPlan(), set()
-    pending = [plan]
-    while pending:
-        node = pending.pop()
-        steps.add(node.nodeName().split(" ")[0])
-        below = node.children()
-        pending += [below.apply(k) for k in range(below.size())]
-    if not steps <= _REPLAYED:
-        pages = checkpoint(pages.select(id_column, url_column, payload_column))
+    pages = replayable(pages.select(id_column, url_column, payload_column))
     return pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(payload_column).cast("binary").alias("payload"))
 
 
