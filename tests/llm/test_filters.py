@@ -225,6 +225,73 @@ def test_decontamination_spans_and_odd_cases(spark):
     assert blocks.count() == 4
 
 
+def test_decontamination_of_periodic_text():
+    """A megabyte of one repeated word against an item of it: bounded memory, and finds that tile the text."""
+    import tracemalloc
+
+    index = decontaminate.GramIndex([(1, "ha " * 40)], decontaminate.LemmaParams())
+    tracemalloc.start()
+    found = index.find(*_one(("ha " * 350_000).encode()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 << 20 and len(found) > 1000
+    spans = sorted(x[2:4] for x in found)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def _one(raw):
+    import numpy as np
+
+    return np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+
+
+def test_decontamination_slices_do_not_matter():
+    import random
+
+    r = random.Random(1)
+    words = [f"w{r.randrange(40)}" for _ in range(4000)]
+    items = [(k, " ".join(words[k * 50 : k * 50 + 25])) for k in range(20)]
+    texts = (" ".join(words) + " ha ha" * 100).encode()
+    want = decontaminate.GramIndex(items, decontaminate.LemmaParams()).find(*_one(texts))
+    got = decontaminate.GramIndex(items, decontaminate.LemmaParams(hits=7)).find(*_one(texts))
+    assert got == want and len({x[1] for x in want}) == 20
+
+
+def test_short_items_are_reported_not_dropped(spark):
+    docs = spark.createDataFrame([(1, "yes it is"), (2, "no")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " yes "), (8, ""), (9, None), (10, "long enough item")], "item_id long, text string")
+    assert [r.item_id for r in decontaminate.short_items(items).collect()] == [7]
+    assert decontaminate.drop_contaminated(docs, items).count() == 2
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, items).collect()] == [(1, 7)]
+
+
+def test_decontamination_query_by_brute_force(spark, small):
+    """The query on whole texts: every item that stands in a text is found there."""
+    from oracle import connect
+
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op9_decontamination(spark, small).collect()}
+    con = connect(small)
+    norm = lambda c: f"trim(regexp_replace(lower({c}), '[ \\t-\\r]+', ' ', 'g'))"
+    want = {tuple(r) for r in con.execute(f"select doc_id, item_id from documents d, benchmark b where length(b.text) > 20 and contains({norm('d.text')}, {norm('b.text')})").fetchall()}
+    assert want and want <= got
+    texts = dict(con.execute("select doc_id, text from documents").fetchall())
+    items = dict(con.execute("select item_id, text from benchmark").fetchall())
+    for doc, item in got:  # what is found is near: most of the item's words stand in the text
+        words = items[item].lower().split()
+        assert sum(w in texts[doc].lower() for w in words) >= 0.7 * len(words)
+
+
+def test_word_hashes_tell_thue_morse_lines_apart():
+    import numpy as np
+
+    from weftline.llm.common import span_hashes
+
+    t = np.array([bin(i).count("1") & 1 for i in range(4096)], np.uint8) + 97
+    data = np.concatenate((t, 195 - t))
+    a, b = span_hashes(data, np.array([0, 4096]), np.array([4096, 8192]))
+    assert a != b
+
+
 def test_gram_hashes():
     d = np.frombuffer(b"abcabcabcabcxyz", np.uint8)
     for q in (1, 2, 3, 7, 10, 15):

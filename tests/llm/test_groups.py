@@ -173,6 +173,38 @@ def test_rollups(spark, tmp_path):
         r.commit("../x", inserts)
 
 
+def test_rollup_races_and_snapshots(spark, tmp_path):
+    schema = "source string, lang string, tokenizer string, old_count long, new_count long, n_docs string"
+    make = lambda *rows: spark.createDataFrame([(*r, "x") for r in rows], schema)
+    one, two = (token_rollups.Rollup(spark, f"file://{tmp_path}/s") for _ in range(2))
+    assert one.commit("a", make(("s", "en", "t", None, 5)))
+    two.is_committed = lambda batch_id: False  # it looked before the other one was done
+    assert not two._publish(token_rollups.deltas(make(("s", "en", "t", None, 9))), two._batch("a"))
+    one.compact()
+    assert one.commit("b", make(("s", "en", "t", 5, 7), (None, None, "t", None, 1)))
+    want = [("s", "en", "t", 1, 7), (None, None, "t", 1, 1)]
+    assert sorted(map(tuple, one.totals().collect()), key=str) == want
+    one.compact()
+    one.compact()
+    assert sorted(map(tuple, one.totals().collect()), key=str) == want and not one.commit("a", make())
+    assert not [x for x in (tmp_path / "s").iterdir() if x.name.startswith("draft")]
+
+
+def test_token_counts_of_long_white_space(spark):
+    import base64
+
+    import tiktoken
+
+    p = token_rollups.TokenParams()
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(p.ranks_path, "rb") if x.strip())}
+    e = tiktoken.Encoding("t", pat_str=p.pattern, mergeable_ranks=ranks, special_tokens={})
+    for t in ("a     b", "     ", "a \n\u3000 \xa0b  c", "   'll     .x\n\n\n\n\n1\t\t\t\t\t", "é" + " " * 9 + "\x1c"):
+        assert token_rollups.n_tokens(e, t, long_space=3) == len(e.encode_ordinary(t)), t
+    docs = spark.createDataFrame([(1, "s", "en", " " * 2_000_000 + "a"), (2, "s", "en", "ab" * 500_000)], "doc_id long, source string, lang string, text string")
+    got = {r.doc_id: r.n_bpe for r in token_rollups.count_tokens(docs).collect()}
+    assert got[1] == 2_000_000 and got[2] > 0
+
+
 def test_token_counts(spark, small):
     import tiktoken
 

@@ -15,17 +15,21 @@ most); each block's index is broadcast, and documents are scanned in one narrow
 Defined cases: null and empty texts contain nothing; null and empty items match nothing; items shorter
 than q bytes are sought exactly; of overlapping finds of one item in one document the nearest, then the
 first, stays; repeated rows and repeated items each give their own rows; empty tables give an empty
-result. Only the id and text columns are read.
+result. A very long text is searched whole in a block of its own; equal q-grams are counted in slices, so texts and
+items that repeat themselves hold no more memory than others, but for a row a band. Only the id and text columns are
+read, so others may have any name.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import BYTE_MIX, IS_SPACE, blocks, mix, read, text_buffers
 
@@ -37,6 +41,8 @@ class LemmaParams:
     block_bytes: int = 16 << 20
     #: Cells of alignment tables held at once.
     cells: int = 1 << 22
+    #: Pairs of an equal q-gram in a document and in an item that are held at once.
+    hits: int = 1 << 19
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,6 +79,16 @@ def gram_hashes(d: np.ndarray, q: int) -> np.ndarray:
         width, power = width * 2, power * power % 2**64
 
 
+def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns of `keys` in rising order, and the sums of their counts."""
+    order = np.lexsort(keys[::-1])
+    keys, counts = keys[:, order], counts[order]
+    new = np.ones(keys.shape[1], bool)
+    new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+    starts = np.flatnonzero(new)
+    return keys[:, starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
 class GramIndex:
     """The q-grams of a block of benchmark items."""
 
@@ -115,23 +131,26 @@ class GramIndex:
         inside = at + self.params.q <= offsets[doc + 1]
         at, which, doc = at[inside], which[inside], doc[inside]
         times = self.times[which]
-        nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        entry = np.repeat(self.first[which], times) + nth
-        item = self.item[entry]
-        doc = np.repeat(doc, times)
-        diagonal = np.repeat(at, times) - self.place[entry]
-        step = self.budget[item] + 1
-        band = np.floor_divide(diagonal, step)
-        keys = np.stack((np.concatenate((doc, doc)), np.concatenate((item, item)), np.concatenate((band, band - 1))))
-        order = np.lexsort(keys[::-1])
-        keys = keys[:, order]
-        if not keys.shape[1]:
+        before = np.concatenate(([0], np.cumsum(times)))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for lo in range(0, int(before[-1]), self.params.hits):  # pairs of a document's place and an item's, in slices
+            nth = np.arange(lo, min(lo + self.params.hits, int(before[-1])))
+            hit = np.searchsorted(before, nth, side="right") - 1
+            entry = self.first[which[hit]] + nth - before[hit]
+            item = self.item[entry]
+            band = np.floor_divide(at[hit] - self.place[entry], self.budget[item] + 1)
+            of = doc[hit]
+            keys = np.stack((np.concatenate((of, of)), np.concatenate((item, item)), np.concatenate((band, band - 1))))
+            held.append(_counted(keys, np.ones(keys.shape[1], np.int64)))
+            size += len(held[-1][1])
+            if size > self.params.hits:
+                held = [_counted(np.concatenate([k for k, _ in held], axis=1), np.concatenate([c for _, c in held]))]
+                size = 0
+        if not held:
             return none
-        new = np.concatenate(([True], (np.diff(keys, axis=1) != 0).any(axis=0)))
-        starts = np.flatnonzero(new)
-        counts = np.diff(np.append(starts, keys.shape[1]))
-        enough = counts >= self.bound[keys[1, starts]]
-        return tuple(keys[:, starts[enough]])
+        keys, counts = _counted(np.concatenate([k for k, _ in held], axis=1), np.concatenate([c for _, c in held]))
+        return tuple(keys[:, counts >= self.bound[keys[1]]])
 
     def verify(self, d: np.ndarray, offsets: np.ndarray, doc: np.ndarray, item: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Least distance of the item within each band, and the region [start, end) of d that has it."""
@@ -184,8 +203,9 @@ class GramIndex:
                 best[rows], start[rows], end[rows] = cost[rows, at], begin[rows, at], low[rows] + at + i + 1
         return best, np.maximum(start, offsets[doc]), np.minimum(end, offsets[doc + 1])
 
-    def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item id, start, end, distance) of one block; starts and ends count bytes of the text."""
+    def find(self, data: np.ndarray, offsets: np.ndarray, inside: bool = True) -> list[tuple[int, int, int, int, int]]:
+        """(document, item id, start, end, distance) of one block; starts and ends count bytes of the text. Items of
+        fewer than q bytes are found within a text, or with inside=False only where they are the whole text."""
         d, at, origin = normalise(data, offsets)
         origin = np.append(origin, len(data))
         doc, item, band = self.candidates(d, at)
@@ -195,15 +215,21 @@ class GramIndex:
             ok = best <= self.budget[item]
             rows = sorted(zip(doc[ok].tolist(), item[ok].tolist(), best[ok].tolist(), start[ok].tolist(), end[ok].tolist()))
             kept: list[tuple[int, int, int, int, int]] = []
+            taken, of = ([], []), None  # starts and ends of the finds that stay, in order; they never overlap
             for x in rows:
-                if not any(y[0] == x[0] and y[1] == x[1] and y[3] < x[4] and x[3] < y[4] for y in reversed(kept[-8:])):
+                if of != x[:2]:
+                    taken, of = ([], []), x[:2]
+                k = bisect.bisect_left(taken[0], x[4])
+                if not k or taken[1][k - 1] <= x[3]:
+                    taken[0].insert(k, x[3])
+                    taken[1].insert(k, x[4])
                     kept.append(x)
             out = [(a, self.ids[b], int(origin[s] - offsets[a]), int(origin[max(e - 1, s)] + 1 - offsets[a]), c) for a, b, c, s, e in kept]
         if self.short:
             for a in range(len(offsets) - 1):
                 text = d[at[a] : at[a + 1]].tobytes()
                 for item_id, x in self.short:
-                    s = text.find(x)
+                    s = text.find(x) if inside or text.strip(b" ") == x else -1
                     while s >= 0:
                         s += int(at[a])
                         out.append((a, item_id, int(origin[s] - offsets[a]), int(origin[s + len(x) - 1] + 1 - offsets[a]), 0))
@@ -211,14 +237,14 @@ class GramIndex:
         return out
 
 
-def find_column(index: GramIndex, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
+def find_column(index: GramIndex, column: pa.Array, inside: bool = True) -> list[tuple[int, int, int, int, int]]:
     """As GramIndex.find, over a whole column; starts and ends count code points."""
     data, offsets = text_buffers(column)
     out = []
     for lo, hi in blocks(offsets):
         part = data[offsets[lo] : offsets[hi]]
         at = offsets[lo : hi + 1] - offsets[lo]
-        for doc, item, s, e, distance in index.find(part, at):
+        for doc, item, s, e, distance in index.find(part, at, inside):
             text = part[at[doc] : at[doc] + e]
             before = int(((text[:s] & 0xC0) != 0x80).sum())
             out.append((lo + doc, item, before, before + int(((text[s:] & 0xC0) != 0x80).sum()), distance))
@@ -262,7 +288,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: LemmaParams = LemmaP
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: LemmaParams = LemmaParams(), text_column: str = "text") -> DataFrame:
-    """The documents without a find, with all their columns."""
+    """The documents without a find, with all their columns. Items shorter than q bytes (see `short_items`)
+    count only where they are a whole text: a bare "yes" stands in many that have nothing to do with the benchmark."""
     at = docs.columns.index(text_column)
 
     def clean(broadcast):
@@ -270,7 +297,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: LemmaParams = Le
             index = broadcast.value
             for batch in batches:
                 mask = np.ones(batch.num_rows, bool)
-                mask[[x[0] for x in find_column(index, batch.column(at))]] = False
+                mask[[x[0] for x in find_column(index, batch.column(at), inside=False)]] = False
                 yield batch.filter(pa.array(mask))
 
         return run
@@ -280,6 +307,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: LemmaParams = Le
     return docs
 
 
+def short_items(benchmark: DataFrame, p: LemmaParams = LemmaParams()) -> DataFrame:
+    """The items that `drop_contaminated` seeks as whole texts only: (item_id, text), fewer than q bytes once normalised."""
+    normal = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    return benchmark.where(F.octet_length(normal).between(1, p.q - 1)).select("item_id", "text")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = read(spark, sf_dir, "benchmark").select("item_id", "text")
     return contamination(read(spark, sf_dir, "documents"), benchmark)
