@@ -1,6 +1,7 @@
 """SimHash classes, archives, rollups, templates and chats against brute force, and their odd cases."""
 
 import base64
+import collections
 import hashlib
 import io
 import re
@@ -272,6 +273,28 @@ def test_templates_of_small_sections_and_deep_paths(spark):
     assert found == {("h.org", "/ab/*", "block"), ("h.org", "/*/*", "allow"), ("deep.org", "/*/*/*/*/spam/**", "block"), ("deep.org", "/*/*/*/*/news/**", "allow")}
 
 
+def test_planted_bad_section_of_the_real_pages_is_rejected(spark, small):
+    """Pages of the table, with labels that make one of its path sections bad: its pages without a listed rule go."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{small.replace('0.001', '0.1')}/pages.parquet").select("page_id", "url", F.col("page_id").alias("_key"))
+    section = F.col("url").rlike("://[^/]*/de/")
+    labels = pages.select("_key", section.alias("bad"))
+    got = url_templates.url_filter(pages.unionByName(pages.withColumn("_key", F.lit(None).cast("long"))), labels).where("rule is null")
+    rows = got.select("page_id", "host", "path", "verdict", "template").collect()
+    planted = [r for r in rows if r.path.startswith("/de/")]
+    pages_of = collections.Counter(host for host, _ in {(r.host, r.page_id) for r in planted})
+    sure = [r for r in planted if pages_of[r.host] >= 10]  # fewer labelled pages leave a template near the prior
+    assert len(sure) > 50 and all(r.verdict == "block" and r.template == "/de/*" for r in sure)
+    assert all(r.verdict == "allow" for r in rows if not r.path.startswith("/de/"))
+
+
+def test_chat_parts_of_odd_turn_numbers(spark):
+    rows = [(1, -1, "ann", "a"), (1, None, "bob", "b"), (1, -1025, "ann", "c"), (1, 0, "bob", "d")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, dialogue string")
+    assert sorted({r.part_no for r in chat_rotation.rotate(df).collect()}) == [-3, -2, -1, 0]
+
+
 def test_chat_odd_cases(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, "ann", "late"), (2, 0, "system", "alone"), (None, 0, None, "é"), (3, 5000, "ann", "far"), (3, 0, "bob", "near")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, spans string")

@@ -179,7 +179,7 @@ def test_scores_by_brute_force(spark, small, head):
     total, kinds = sum(c.values()), len(c)
     some = lm_scoring.frequent_words(lm_scoring.count_words(docs, p, "doc_id", "text"), p).toPandas()
     assert len(some) <= head + 1 and dict(zip(some.word, some.n)) == {w: n[w] for w in some.word}
-    trained = sorted((w for w in some.word if c[w]), key=lambda w: (-c[w], w))[:100]
+    trained = sorted((w for w in c if c[w]), key=lambda w: (-c[w], w))[:100]
     model = lm_scoring.PieceModel(lattice.load(), p)
     model.calibrate(trained, np.array([c[w] for w in trained], float), p.rounds)
     assert np.exp(model.log_p).sum() == pytest.approx(1)
@@ -208,3 +208,16 @@ def test_calibration_has_every_training_word(spark, small):
     terms = dict(zip(every, model.log_words(every)[0] / math.log(10)))
     for i, t in rows:
         assert got[i] == pytest.approx(sum(terms[w] for w in [*words_of(t), ""]))
+
+
+def test_held_out_texts_move_no_other_score(spark, small):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    held = [i for i in range(10**6, 10**6 + 60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    extra = spark.createDataFrame([(i, "zzq " * 5000 + f"word{i}") for i in held], "doc_id long, text string")
+    p = lm_scoring.LatticeParams(head_words=300, rounds=1)
+    before, after = ({r.doc_id: (r.score, r.base_score, r.n_known) for r in lm_scoring.lm_scores(d, p).where(F.col("doc_id") < 10**6).collect()} for d in (docs, docs.unionByName(extra)))
+    assert held and before.keys() == after.keys()
+    for i in before:
+        assert after[i] == pytest.approx(before[i], rel=1e-9)

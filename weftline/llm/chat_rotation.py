@@ -7,9 +7,11 @@ numbers, so a conversation of any length, also one with a third of all rows, is
 usual one is a single part. All work on turns shares one exchange, by (conversation, part).
 
 Defined cases: a null text is empty, a null role the participant "unknown"; rows without a turn number form
-a part of their own, -1; equal turn numbers are ordered by role, then text, and repeated rows are rendered
+a part of their own, -1, and parts of negative turn numbers count down from -2; equal turn numbers are ordered by role, then text, and repeated rows are rendered
 each; control marks in a text are broken up by a space; conversations of system turns alone have no
-participant and no row; an empty table gives an empty result. DataFrame functions only.
+participant and no row; an empty table gives an empty result. Offsets of spans count from the start of their part.
+Only the named columns are read, so others may have any name. A very long text is rendered whole. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def rotate(conversations: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
     """conv_id, part_no, speaker, n_turns, dialogue, spans (array of start and end, code points)."""
     turns = conversations.select(
         "conv_id",
-        F.coalesce(F.floor(F.col("turn") / p.part_turns), F.lit(-1)).cast("long").alias("part_no"),
+        F.coalesce(F.floor(F.col("turn") / p.part_turns) - (F.col("turn") < 0).cast("long"), F.lit(-1)).cast("long").alias("part_no"),
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|", "< |").alias("text"),
@@ -62,7 +64,7 @@ def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 with t as (
-  select conv_id, coalesce(floor(turn / 1024.0), -1)::bigint as part_no, turn, coalesce(role, 'unknown') as role,
+  select conv_id, coalesce(floor(turn / 1024.0) - (turn < 0)::int, -1)::bigint as part_no, turn, coalesce(role, 'unknown') as role,
     replace(coalesce(text, ''), '<|', '< |') as text
   from conversations),
 s as (select distinct conv_id, role as speaker from t where role <> 'system'),

@@ -5,18 +5,20 @@ pieces of an existing unigram vocabulary, of the product of the pieces' probabil
 recursion in log space; a text's is the product of its words' and of the end's. The vocabulary's scores are
 ranks of merges, so their ranks give the pieces' first probabilities (proportional to 1 / (rank + 3));
 `rounds` rounds of expected counts over the whole table of training words then fit them, with the first ones as
-`prior_weight` pseudo-pieces; a round is one narrow pass with a vector of piece counts a task. `calibration_words`
-limits the fit to that many of the broadcast words, for small samples by choice; by default there is no limit. The
-pieces are never changed. Base: an add-one word model with counts from all training documents.
+`prior_weight` pseudo-pieces; a round is one narrow pass with a vector of piece counts a task. Words that only
+held-out documents have teach nothing. The pieces are never changed. Base: an add-one word model with counts from all training documents.
 
 Plan: one pass counts words (merged within a task, then summed by word); the table of words grows with the
 corpus and is checkpointed. The most frequent words, `head_words` at most, are broadcast; a second pass sums
 their terms document by document and deals only the other words, each once a document, to the table. So a
-frequent word is never a hot key, and no document's words gather in one task.
+frequent word is never a hot key, and no document's words gather in one task. Which words are broadcast goes by their
+number in all documents, since held-out documents have hot words too; it decides where a word's term is added, never
+what the term is.
 
 Defined cases: null and wordless texts have the end alone; a null id counts as held out; repeated rows are
 counted and scored row by row; an empty table gives an empty result, and without training documents N and V
-are 0. Only the id and text columns are read.
+are 0; a very long text is scored whole, in a block of its own. Only the id and text columns are read, so others may
+have any name.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ class LatticeParams:
     model_path: str = lattice.DEFAULT_MODEL
     head_words: int = 1 << 17
     head_length: int = 48
+    #: The fit's words, the most frequent of the training texts; None for all, as in the query.
     calibration_words: int | None = None
     rounds: int = 3
     prior_weight: float = 2000.0
@@ -169,8 +172,7 @@ class PieceModel:
 
 
 def calibrate_on(table: DataFrame, model: PieceModel, rounds: int) -> None:
-    """Fits the model on all training words of table (word, c). The driver gets one row a piece and round."""
-    trained = table.where("c > 0").select("word", "c")
+    """Fits the model on all words of table (word, c). The driver gets one row a piece and round."""
     for _ in range(rounds):
         held = table.sparkSession.sparkContext.broadcast(model)
 
@@ -181,7 +183,7 @@ def calibrate_on(table: DataFrame, model: PieceModel, rounds: int) -> None:
             at = np.flatnonzero(expected)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(expected[at])], ["piece", "n"])
 
-        sums = trained.mapInArrow(count, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        sums = table.mapInArrow(count, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
         expected = np.zeros(len(model.log_p))
         expected[sums.piece] = sums.n
         held.unpersist()
@@ -199,12 +201,8 @@ def lm_scores(docs: DataFrame, p: LatticeParams = LatticeParams(), id_column: st
 
     head = frequent_words(table, p).toPandas()
     model = PieceModel(lattice.load(p.model_path), p)
-    if p.calibration_words is None:
-        calibrate_on(table, model, p.rounds)
-    else:
-        trained = head[head.c > 0].sort_values(["c", "word"], ascending=[False, True])[: p.calibration_words]
-        if len(trained):
-            model.calibrate(trained.word.tolist(), trained.c.to_numpy(float), p.rounds)
+    trained = table.where("c > 0").select("word", "c")
+    calibrate_on(trained if p.calibration_words is None else checkpoint(trained.orderBy(F.desc("c"), "word").limit(p.calibration_words)), model, p.rounds)
     held_model = spark.sparkContext.broadcast(model)
     log_head = model.log_words(head.word.tolist())[0] / np.log(10)
     raw = [w.encode() for w in head.word]

@@ -6,13 +6,14 @@ on) and, by a learned layer, an embedding h. Gated attention gives the passage t
 softmax(w . (tanh(V h) * sigmoid(U h))); the weighted sum of the embeddings is the document's
 representation, from which a logistic unit gives the score. Only the documents' labels are learned from.
 
-Fit: on at most `fit_documents` labelled rows of each label, those with the smallest hash of their id, and
-at most `fit_passages` passages of each, spread over the text; this bounds what the driver holds. Scores
-use every passage of every document in one narrow pass.
+Fit: on at most `fit_documents` labelled rows of each label, those with the smallest hash of their id, in that order
+while all their passages together are `fit_passages` at most; every passage of a fitted row is used. The two numbers
+bound what the driver holds. Scores use every passage of every document in one narrow pass.
 
 Defined cases: a null or wordless text is one passage with all features zero; without labels of both
 kinds every score is the share of label 1 (0.5 without any); repeated rows get equal scores; an empty
-table gives an empty result. Labels, ids and other columns are never inputs of a score.
+table gives an empty result; a very long text is one bag in a block of its own. Labels, ids and other columns are
+never inputs of a score; only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, blocks, mix, read, span_hashes, spans, text_buffers
+from .common import IS_SPACE, blocks, checkpoint, mix, read, span_hashes, spans, text_buffers
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ class MilParams:
     hidden: int = 24
     attention: int = 12
     fit_documents: int = 2500
-    fit_passages: int = 16
+    fit_passages: int = 80_000
     epochs: int = 30
     rate: float = 4e-3
     decay: float = 1e-4
@@ -198,17 +199,17 @@ def fit_mil(docs: DataFrame, labels: DataFrame, p: MilParams = MilParams(), id_c
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, x, passages in feature_blocks(batch.column(2), p):
-                ends = np.cumsum(passages)
-                bags = []
-                for i, n in enumerate(passages):
-                    at = np.unique(np.linspace(0, n - 1, min(n, p.fit_passages)).astype(int)) + ends[i] - n
-                    bags.append(x[at].astype(np.float16).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, len(passages)), batch.column(0).slice(lo, len(passages)), pa.array(bags, pa.binary())], ["label", "_id", "x"])
+                bags = [b.astype(np.float16).tobytes() for b in np.split(x, np.cumsum(passages)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, len(passages)), batch.column(0).slice(lo, len(passages)), pa.array(passages, pa.int64()), pa.array(bags, pa.binary())], ["label", "_id", "n", "x"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    got = rows.mapInArrow(collect, f"label int, _id {kind}, x binary").toPandas().sort_values(["_id", "x"]).drop_duplicates("_id")
-    if got.label.nunique() < 2:
+    made = checkpoint(rows.mapInArrow(collect, f"label int, _id {kind}, n long, x binary").withColumn("h", F.xxhash64("_id", F.lit(p.seed))))
+    sizes = made.select("_id", "label", "h", "n").toPandas().sort_values(["h", "_id"])  # 2 * fit_documents rows and their copies
+    taken = sizes[sizes.groupby("label").n.cumsum() <= p.fit_passages // 2]
+    if taken.label.nunique() < 2:
         return model
+    last = taken.groupby("label").h.max()
+    got = made.where(" or ".join(f"label = {k} and h <= {h}" for k, h in last.items())).select("label", "_id", "x").toPandas().sort_values(["_id", "x"]).drop_duplicates("_id")
     bags = [np.frombuffer(x, np.float16).reshape(-1, (1 << p.buckets_log2) + _STATS) for x in got.x]
     y = got.label.to_numpy(float)
     fitted = {k: max((y == k).sum(), 1) for k in (0, 1)}

@@ -237,7 +237,7 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams(), id_column: str = "do
     long = rows.where(F.length("_text") >= p.chunk).select(F.monotonically_increasing_id().alias("uid"), "_id", "_text")
     chunks = checkpoint(long.mapInArrow(cut, f"uid long, _id {kind}, no long, n long, own long, part string").repartition(n_tasks, "uid", "no"))
     found = checkpoint(chunks.select("uid", "no", "own", "part").mapInArrow(matrices, "uid long, no long, seg long, m binary"))
-    segments = found.groupBy("uid", "seg").applyInPandas(product, "uid long, seg long, m binary")
+    segments = found.repartition(n_tasks, "uid", "seg").groupBy("uid", "seg").applyInPandas(product, "uid long, seg long, m binary")
     states = segments.groupBy("uid").applyInPandas(of_segments, "uid long, seg long, i long, j long")
     states = found.join(states, ["uid", "seg"]).groupBy("uid", "seg").applyInPandas(of_chunks, "uid long, no long, i long, j long")
     traced = chunks.join(states, ["uid", "no"]).select("_id", "no", "n", "own", "part", "i", "j").mapInArrow(backtrace, schema)

@@ -8,7 +8,7 @@ integers, so a score never depends on the order of summation or on how the table
 Defined cases: a null text is the empty text; a text under four bytes has no n-gram, scores 0 and is left
 to the counting rules; repeated rows are judged alike, row by row; an empty table gives an empty result
 and a table without trusted documents a ratio of 0 for every n-gram. Only `id_column` and `text_column`
-are read, so other columns may bear any name.
+are read, so other columns may bear any name. A very long text is measured whole, in a block of its own.
 """
 
 from __future__ import annotations

@@ -3,13 +3,14 @@
 Fingerprint: a bit is set if it is set in over half of the XXH64 hashes (seed 42) of the document's word
 shingles. Two fingerprints link if they differ in at most `radius` bits.
 
-Shards: by the pigeonhole principle two fingerprints within radius 3 agree in one of four 16-bit blocks,
-and, since the other 48 bits again hold at most three differences, in one of four 12-bit blocks of those.
-Each distinct fingerprint therefore goes to 16 shards (28 agreed bits), and every link lies in at least
-one. A shard's fingerprints form BK-trees (children keyed by their distance to the parent); every
-fingerprint of the shard is searched in them, following only edges within the radius. A tree is shipped
-to the one task that holds the fingerprints routed to it, since a tree of all fingerprints, or a copy of
-every tree on every executor, would grow with the corpus. A shard over `tree_size` becomes a forest.
+Shards: by the pigeonhole principle two fingerprints within radius 3 agree in one of four 16-bit blocks, so each
+distinct fingerprint goes to 4 shards, and every link lies in at least one. A shard of over `tree_size` fingerprints
+is split: since the other 48 bits again hold at most three differences, its members go on to 4 shards each, by the
+four 12-bit blocks of those. Which shards are so large is a table of 4 * 65,536 rows at most, which is broadcast. A
+shard's fingerprints form BK-trees (children keyed by their distance to the parent); every fingerprint of the shard
+is searched in them, following only edges within the radius. A tree is shipped to the one task that holds the
+fingerprints routed to it, since a tree of all fingerprints, or a copy of every tree on every executor, would grow
+with the corpus. A split shard that is still over `tree_size` becomes a forest.
 
 A task emits a spanning forest of a shard's links, so a group of n copies gives at most n - 1 rows a
 shard. Components come from alternating large-star and small-star steps; nothing but one count a round
@@ -18,7 +19,8 @@ reaches the driver.
 Defined cases: a null text is the empty text; a text without a word has fingerprint zero and links like
 any other; a text with fewer words than a shingle has one shingle, its whole word sequence; repeated rows
 keep one result each; a null id never becomes a component's id unless the component has no other; an
-empty table gives an empty result. Only the id and text columns are read.
+empty table gives an empty result; a very long text is hashed whole, a slice of shingles at a time. Only the id and
+text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -163,18 +165,22 @@ class Forest:
         yield np.stack((values[at], values[roots[at]]))
 
 
-def shard_rows(distinct: DataFrame) -> DataFrame:
-    """Each fingerprint once for each of its 16 shard keys."""
+def shard_rows(distinct: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
+    """Each fingerprint once for each of its 4 shards, or of the 4 parts of a shard that is too large."""
     fp = F.col("fp")
-    keys = []
+    first, parts = [], []
     for i in range(4):
         block = F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
         low = fp.bitwiseAND(F.lit((1 << 16 * i) - 1))
         rest = F.shiftleft(F.shiftrightunsigned(fp, 16 * i + 16), 16 * i).bitwiseOR(low) if i < 3 else low
-        for j in range(4):
-            part = F.shiftrightunsigned(rest, 12 * j).bitwiseAND(F.lit(0xFFF))
-            keys.append(F.shiftleft(block, 16).bitwiseOR(F.shiftleft(part, 4)).bitwiseOR(F.lit(4 * i + j)))
-    return distinct.select("fp", F.explode(F.array(*keys)).alias("shard"))
+        first.append(-1 - F.shiftleft(block, 2) - i)
+        inner = [F.shiftrightunsigned(rest, 12 * j).bitwiseAND(F.lit(0xFFF)) for j in range(4)]
+        parts.append(F.array(*[F.shiftleft(block, 16).bitwiseOR(F.shiftleft(x, 4)).bitwiseOR(F.lit(4 * i + j)) for j, x in enumerate(inner)]))
+    dealt = distinct.select("fp", F.posexplode(F.array(*first)).alias("i", "shard"))
+    large = dealt.groupBy("shard").agg(F.count("*").alias("c")).where(F.col("c") > p.tree_size).select(F.col("shard").alias("_large"))
+    marked = dealt.join(F.broadcast(large), F.col("shard") == F.col("_large"), "left")  # 4 * 65,536 rows at most
+    keys = F.when(F.col("_large").isNull(), F.array("shard")).otherwise(F.element_at(F.array(*parts), F.col("i") + 1))
+    return marked.select("fp", F.explode(keys).alias("shard"))
 
 
 def _spanning(p: SimHashParams):
@@ -222,7 +228,7 @@ def links(distinct: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     """Spanning links (a, b) over distinct fingerprints `fp`."""
     if p.radius > 3:
         raise ValueError("four blocks find every link up to radius 3")
-    dealt = shard_rows(distinct).repartition("shard").sortWithinPartitions("shard", "fp").select("shard", "fp")
+    dealt = shard_rows(distinct, p).repartition("shard").sortWithinPartitions("shard", "fp").select("shard", "fp")
     return dealt.mapInArrow(_spanning(p), "a long, b long").distinct()
 
 

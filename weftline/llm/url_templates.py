@@ -5,11 +5,13 @@ a segment stays a branch of its own only if it has `min_pages` and its labelled
 siblings (a two-proportion test); all other branches merge into the wildcard *. Levels go on to the longest
 path; wildcards that end a path beyond the first `levels` segments are written as one **. A template whose share of good labelled pages, smoothed towards the share of all, is
 under the least purity is rejected. All steps run on one row a (host, path shape), counted by a
-pre-aggregation, so neither a hot host nor a hot path is a hot key.
+pre-aggregation; pages without a key never meet the labels. Pages get their templates back by a broadcast of the hot
+shapes, fewer than 1,000 by definition, and a join with the others. So neither a hot host nor a hot path is a hot key.
 
 Defined cases: a null URL, or one without ://, has empty host and path and is judged as such a template; an
 empty segment ends a path; pages without a label count as support alone; repeated pages count once each;
-an empty table gives an empty result. DataFrame functions only.
+an empty table gives an empty result; a very long path has as many levels as segments. Only the named columns are
+read, so others may have any name. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+#: A path shape with more than one page in so many is hot; there are fewer hot shapes than this.
+_HOT = 1000
+
+
 @dataclass(frozen=True)
 class TemplateParams:
     levels: int = 4
@@ -82,17 +88,25 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     url = F.col(url_column)
     rows = pages.select(id_column, "_key", host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("shape", F.regexp_replace("path", "[0-9]+", "{n}"))
-    marked = rows.select("host", "shape", "_key").join(labels.groupBy("_key").agg(F.max("bad").alias("bad")), "_key", "left")
-    shapes = marked.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("n_lab"), F.count(F.when(F.col("bad"), 1)).alias("n_bad"))
+    counted = rows.groupBy("host", "shape").agg(F.count("*").alias("n"))
+    keyed = rows.where("_key is not null").groupBy("host", "shape", "_key").agg(F.count("*").alias("k"))
+    marked = keyed.join(labels.groupBy("_key").agg(F.max("bad").alias("bad")).where("bad is not null"), "_key")
+    known = marked.groupBy("host", "shape").agg(F.sum("k").alias("n_lab"), F.sum(F.when(F.col("bad"), F.col("k")).otherwise(0)).alias("n_bad"))
+    shapes = counted.join(known, ["host", "shape"], "left").select("host", "shape", "n", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lab", "n_bad")))
     found = templates(checkpoint(shapes), p)
     by_template = found.groupBy("host", "template").agg(F.sum("n_lab").alias("n_lab"), F.sum("n_bad").alias("n_bad"))
     total = found.agg(F.sum("n_lab").alias("all_lab"), F.sum("n_bad").alias("all_bad"))
     prior = F.coalesce((F.col("all_lab") - F.col("all_bad")) / F.nullif("all_lab", F.lit(0)), F.lit(1.0))
     purity = (F.col("n_lab") - F.col("n_bad") + p.smoothing * prior) / (F.col("n_lab") + p.smoothing)
     judged = by_template.join(F.broadcast(total)).select("host", "template", F.when(purity < p.min_purity, "block").otherwise("allow").alias("own"))  # `total` is one row
-    map_ = found.select("host", "shape", "template").join(judged, ["host", "template"])
+    map_ = checkpoint(found.select("host", "shape", "template", "n").join(judged, ["host", "template"]))
+    n_pages = map_.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * _HOT > n_pages
+    hot, rest = (map_.where(c).select(F.col("host").alias("_host"), F.col("shape").alias("_shape"), "template", "own") for c in (is_hot, ~is_hot))
+    same = (F.col("host") == F.col("_host")) & (F.col("shape") == F.col("_shape"))
+    usual = rows.join(F.broadcast(hot), same, "left_anti").join(rest, same)
     rule, verdict = rule_match(F.col("host"), F.col("path"), rules)
-    return rows.join(map_, ["host", "shape"]).select(id_column, "host", "path", rule.alias("rule"), F.coalesce(verdict, "own").alias("verdict"), "template")
+    return rows.join(F.broadcast(hot), same).unionByName(usual).select(id_column, "host", "path", rule.alias("rule"), F.coalesce(verdict, "own").alias("verdict"), "template")
 
 
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
