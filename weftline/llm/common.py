@@ -18,7 +18,7 @@ WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 #: Bytes of text that the vectorised scanners hold at once; a longer single document is still taken whole.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _mixer = np.random.default_rng(20240607)
 BYTE_MIX = _mixer.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -201,9 +201,11 @@ class AtomTable:
         self.lengths, self.scores = np.zeros(0, np.int64), np.zeros(0)
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def add(self, atoms: Iterable[str]) -> None:
+    def add(self, atoms: Iterable[str]) -> dict[str, int]:
+        """Numbers of distinct atoms that are not in the table yet."""
         by_length: dict[int, list[str]] = {}
-        for a in {a for a in atoms if a not in self.number}:
+        new: dict[str, int] = {}
+        for a in atoms:
             by_length.setdefault(len(a), []).append(a)
         parts, lengths, scores = [self.flat], [self.lengths], [self.scores]
         for n, group in by_length.items():
@@ -211,12 +213,13 @@ class AtomTable:
             for lo in range(0, len(group), step):
                 some = group[lo : lo + step]
                 flat, many, best = viterbi(self.v, some)
-                self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
+                new.update(zip(some, range(len(self.lengths) + len(new), len(self.lengths) + len(new) + len(some))))
                 parts.append(flat.astype(np.int32))
                 lengths.append(many)
                 scores.append(best)
         self.flat, self.lengths, self.scores = np.concatenate(parts), np.concatenate(lengths), np.concatenate(scores)
         self.starts = np.cumsum(self.lengths) - self.lengths
+        return new
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, offsets by text and scores; a text has its leading space already, or is empty."""
@@ -228,7 +231,7 @@ class AtomTable:
             some = find(t)
             counts[k] = len(some)
             atoms += some
-        self.add(set(atoms).difference(self.number))
+        self.number.update(self.add(set(atoms).difference(self.number)))
         return self.gather(np.fromiter(map(get, atoms), np.int64, len(atoms)), counts)
 
     def gather(self, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,20 +244,20 @@ class AtomTable:
 
 
 class HashedAtoms:
-    """AtomTable over UTF-8 bytes: atoms are told apart by 64-bit hashes, and only new ones become strings.
+    """AtomTable over UTF-8 bytes: atoms are told apart by 64-bit hashes, and only new ones become strings, which
+    are not kept.
 
-    Equal hashes of unlike atoms would show as a failed round trip; callers check it and fall back to
-    AtomTable.encode.
+    Equal hashes of unlike atoms would show as a failed round trip; callers check it and fall back to `plain`.
     """
 
-    def __init__(self, v: Vocabulary, most: int = 450_000):
-        self.table = AtomTable(v, most)
+    def __init__(self, v: Vocabulary, most: int = 250_000):
+        self.table, self.plain = AtomTable(v, most), AtomTable(v, 10_000)
         self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As AtomTable.encode, over the bytes of texts that have their leading space."""
         v = self.table.v
-        if len(self.table.number) > self.table.most:
+        if len(self.codes) > self.table.most:
             self.table.clear()
             self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if not len(data):
@@ -275,8 +278,8 @@ class HashedAtoms:
         new = np.flatnonzero(code < 0)
         if len(new):
             texts = span_strings(data, starts[first[new]], ends[first[new]]).to_pylist()
-            self.table.add(texts)
-            code[new] = np.fromiter(map(self.table.number.__getitem__, texts), np.int64, len(texts))
+            number = self.table.add(texts)
+            code[new] = np.fromiter(map(number.__getitem__, texts), np.int64, len(texts))
             keys, codes = np.concatenate((self.keys, hashes[new])), np.concatenate((self.codes, code[new]))
             order = np.argsort(keys, kind="stable")
             self.keys, self.codes = keys[order], codes[order]

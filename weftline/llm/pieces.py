@@ -66,7 +66,7 @@ def encode_whole(v: lattice.Vocabulary, table: lattice.HashedAtoms, column: pa.A
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         ids, edges, scores = table.encode(part, at)
         if not np.array_equal(lattice.decode_flat(v, ids)[0], part):  # two atoms of one hash
-            ids, edges, scores = table.table.encode([bytes(part[a:b]).decode() for a, b in zip(at[:-1], at[1:])])
+            ids, edges, scores = table.plain.encode([bytes(part[a:b]).decode() for a, b in zip(at[:-1], at[1:])])
         decoded, length = lattice.decode_flat(v, ids)
         ends = np.concatenate(([0], np.cumsum(length)))[edges]
         same = np.diff(ends) == np.diff(at)
@@ -99,7 +99,7 @@ class Chunk:
         data = np.frombuffer(middle.encode(), np.uint8)
         ids, _, scores = self.table.encode(data, np.array([0, len(data)]))
         if not np.array_equal(lattice.decode_flat(self.v, ids)[0], data):  # two atoms of one hash
-            ids, _, scores = self.table.table.encode([middle])
+            ids, _, scores = self.table.plain.encode([middle])
         return ids, float(scores[0])
 
     def matrix(self) -> np.ndarray:
