@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,9 +89,27 @@ def categorical_cross_entropy(y: Column, p: Column, eps: float = 1e-7) -> Column
     return -F.aggregate(F.zip_with(y, p, lambda a, b: a * F.ln(F.greatest(b, F.lit(eps)))), F.lit(0.0), lambda s, x: s + x)
 
 
-def linear_arc_margin(cosine_of_class: Column, is_class: Column, margin: float = 0.5, scale: float = 16.0) -> Column:
-    """Logit of a class whose true case is held back by a linear margin on the angle's cosine."""
-    return scale * F.when(is_class, cosine_of_class - margin).otherwise(cosine_of_class)
+def linear_arc_margin(cosine_of_class: Column, is_class: Column, margin: float = 0.5, scale: float = 30.0) -> Column:
+    """Logit that falls linearly with the angle, from 1 to -1 over half a turn; the true class's angle is widened by
+    the margin."""
+    angle = F.acos(cosine_of_class) + F.when(is_class, margin).otherwise(0.0)
+    return scale * (1 - 2 * angle / math.pi)
+
+
+def arc_margin(cosine_of_class: Column, is_class: Column, margin: float = 0.5, cosine_margin: float = 0.0, scale: float = 30.0) -> Column:
+    """Logit with an additive margin on the true class's angle. An angle that the margin would carry beyond half a turn
+    loses margin * sin(margin) of its cosine instead; `cosine_margin` is taken off as well."""
+    c = cosine_of_class
+    widened = c * math.cos(margin) - F.sqrt(1 - c * c) * math.sin(margin)
+    held = F.when(c > -math.cos(margin), widened).otherwise(c - margin * math.sin(margin)) - cosine_margin
+    return scale * F.when(is_class, held).otherwise(c)
+
+
+def softmax_cross_entropy(logits: Column, label: Column) -> Column:
+    """Of an array of logits and the true class's number (from 0)."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return F.ln(total) + top - F.element_at(logits, label.cast("int") + 1)
 
 
 def glu(values: Column, gates: Column) -> Column:

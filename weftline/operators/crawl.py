@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import urls
+from weftline.plans.lineage import rank_rows, running_sum
 
 
 def parse_index(lines: DataFrame, max_pages: int | None = None) -> DataFrame:
@@ -75,8 +78,13 @@ def _choose(paths: list[str], strict: bool) -> list[str]:
         return p.replace(last, "") if strict and last else p[: len(p) - len(last)]
 
     folders = [directory(p) for p in ordered]
+    alone: set[str] = set()  # directories that are in no other path
     for i, folder in enumerate(folders):
-        if sum(folder in p for p in ordered) >= 2:
+        if folder in alone:
+            continue
+        if sum(1 for _ in itertools.islice((p for p in ordered if folder in p), 2)) < 2:
+            alone.add(folder)
+        else:
             same = sorted(p.rsplit("/", 1)[-1] for p, f in zip(ordered[i:], folders[i:]) if f == folder)
             if len(same) >= 2:
                 return [folder + x for x in same[:2]]
@@ -118,15 +126,12 @@ def group_gate(pages: DataFrame, group: list[str], least: int = 2) -> DataFrame:
 
 
 def pick_groups(groups: DataFrame, max_groups: int, seed: int = 0) -> DataFrame:
-    """groups (grp, n): groups in hashed order until half their pages reach max_groups. The running sum is
-    over groups, one row each."""
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "grp")), "grp")
-    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return groups.withColumn("before", F.coalesce(before, F.lit(0))).where(F.floor(F.col("before") / 2) < max_groups).drop("before")
+    """groups (grp, n): groups in hashed order until half their pages reach max_groups."""
+    rows = running_sum(groups, [F.md5(F.concat(F.lit(f"{seed}:"), "grp")), F.col("grp")], F.col("n"))
+    return rows.where(F.floor(F.col("before") / 2) < max_groups).drop("before")
 
 
 def task_slices(df: DataFrame, order: str, tasks: int) -> DataFrame:
     """A 1-based slice number for equal runs in order: row r (from 0) of n belongs to slice floor(r * tasks / n) + 1."""
-    ranked = df.withColumn("r", F.row_number().over(Window.orderBy(order)) - 1)
-    total = df.agg(F.count("*").alias("total"))
-    return ranked.join(F.broadcast(total)).withColumn("slice", (F.floor(F.col("r") * tasks / F.col("total")) + 1).cast("int")).drop("r", "total")
+    ranked = rank_rows(df, [F.col(order)], "r")
+    return ranked.withColumn("slice", (F.floor(F.col("r") * tasks / F.lit(df.count())) + 1).cast("int")).drop("r")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import tokens
+from weftline.plans.lineage import checkpoint
 
 
 def stem(name: Column) -> Column:
@@ -73,16 +74,11 @@ def matching_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
     return [(x.a, x.b, x.size) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
 
 
-def opcode_confusion(a: list, b: list) -> tuple[int, int, int]:
-    """(tp, fp, fn) of turning the extracted words a into the gold words b."""
-    tp = fp = fn = 0
-    for op, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op == "equal":
-            tp += i2 - i1
-        else:
-            fp += i2 - i1
-            fn += j2 - j1
-    return tp, fp, fn
+def opcode_confusion(a: list, b: list, matched: int | None = None) -> tuple[int, int, int]:
+    """(tp, fp, fn) of turning the extracted words a into the gold words b: whatever no block matches is deleted,
+    inserted or replaced. `matched` is the blocks' size where they are known already."""
+    tp = sum(x[2] for x in matching_blocks(a, b)) if matched is None else matched
+    return tp, len(a) - tp, len(b) - tp
 
 
 def alignment_scores(df: DataFrame, key: str, pred: str, gold: str) -> DataFrame:
@@ -94,7 +90,7 @@ def alignment_scores(df: DataFrame, key: str, pred: str, gold: str) -> DataFrame
             for p, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 a, b = (p or "").split(), (g or "").split()
                 m = sum(x[2] for x in matching_blocks(a, b))
-                rows.append((len(a), len(b), m, *opcode_confusion(a, b), m / len(a) if a else 1.0, m / len(b) if b else 1.0))
+                rows.append((len(a), len(b), m, *opcode_confusion(a, b, m), m / len(a) if a else 1.0, m / len(b) if b else 1.0))
             columns = list(zip(*rows)) or [()] * 8
             kinds = [pa.int64()] * 6 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]], [key, "n_pred", "n_gold", "matched", "op_tp", "op_fp", "op_fn", "precision", "recall"])
@@ -128,6 +124,60 @@ def accuracy(df: DataFrame, pred: str, truth: str) -> DataFrame:
     return n.select(ratio(F.col("right"), F.col("n")).alias("accuracy"), p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
 
 
+def class_accuracy(df: DataFrame, pred: str, truth: str) -> DataFrame:
+    """Share of rows whose class, of any number of classes, is right: of blocks, or of edges by `edge_classes`."""
+    return df.agg(F.avg((F.col(pred) == F.col(truth)).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def edge_classes(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """0/1 labels of neighbouring rows of a key as classes 0 to 3 (both bits, the earlier one first): key, order, columns.
+    Neighbours are found by a shifted join, so a key with many rows does not gather; `order` counts without gaps."""
+    after = df.select(key, (F.col(order) - 1).alias(order), *[F.col(c).alias(f"_{c}") for c in columns])
+    return df.join(after, [key, order]).select(key, order, *[(2 * F.col(c) + F.col(f"_{c}")).alias(c) for c in columns])
+
+
+def class_confusion(df: DataFrame, scores: str, truth: str, top_k: int | None = None, class_id: int | None = None, threshold: float | None = None) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1 of class scores (an array) against the true class's number. A class is
+    predicted if its score is over the threshold (0.5, or none with top_k) and, with top_k, among the row's k best, of
+    equals the earlier ones; with class_id that class alone counts."""
+    if threshold is None and top_k is None:
+        threshold = 0.5
+    at = F.transform(scores, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+    better = lambda x: F.size(F.filter(at, lambda y: (y["s"] > x["s"]) | ((y["s"] == x["s"]) & (y["i"] < x["i"]))))
+    yes = lambda x: (F.lit(True) if top_k is None else better(x) < top_k) & (F.lit(True) if threshold is None else x["s"] > threshold)
+    rows = df.select(F.col(truth).alias("_t"), F.inline(F.transform(at, lambda x: F.struct(x["i"].alias("i"), yes(x).alias("yes")))))
+    rows = rows if class_id is None else rows.where(F.col("i") == class_id)
+    real = F.col("i") == F.col("_t")
+    n = rows.agg(F.count_if(F.col("yes") & real).alias("tp"), F.count_if(F.col("yes") & ~real).alias("fp"), F.count_if(~F.col("yes") & real).alias("fn"))
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    return n.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """query_id, key, score (cosine, to six places), rank: the k nearest other rows of each query, of equals the lowest
+    key. Queries are broadcast in blocks of about `block` rows; each task keeps its own k best before they meet."""
+    from pyspark.sql import Window
+
+    from weftline.functions.vectors import cosine
+
+    given = checkpoint(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")))
+    n_blocks = max(1, -(-given.count() // block))
+    score = F.round(cosine(F.col("_q"), F.col(vector)), 6)
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    out = None
+    for b in range(n_blocks):
+        some = given.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
+        scored = rows.join(F.broadcast(some), F.col(key) != F.col("query_id")).select("query_id", key, score.alias("score"))  # a block of stated queries against all rows
+        best = scored.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def common_folds(left: DataFrame, right: DataFrame, fold: str) -> DataFrame:
+    """The folds that both sides have: those whose records and whose weights are there."""
+    return left.select(fold).distinct().join(right.select(fold).distinct(), fold, "left_semi")
+
+
 def majority_vote(df: DataFrame, group: str, vote: str) -> DataFrame:
     """The most frequent vote of each group; of ties the lowest class."""
     n = df.groupBy(group, vote).agg(F.count("*").alias("n"))
@@ -166,7 +216,7 @@ def label_nodes(nodes: DataFrame, tokens_table: DataFrame, gold: DataFrame, min_
                     places.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["page_id", "hits"])
 
-    aligned = both.mapInArrow(align, "page_id long, hits array<int>")
+    aligned = checkpoint(both.mapInArrow(align, "page_id long, hits array<int>"))  # read by three branches
     hits = aligned.select("page_id", F.explode("hits").alias("pos"), F.lit(1).alias("hit"))
     owned = tokens_table.join(aligned.select("page_id"), "page_id", "left_semi").join(hits, ["page_id", "pos"], "left").select("page_id", F.explode("owners").alias("node_id"), "hit")
     counts = owned.groupBy("page_id", "node_id").agg(F.count("*").alias("n_words"), F.count("hit").alias("n_aligned"))

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set."""
+    """spark.checkpoint.dir of the session; a temporary folder only where none is set and there is one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    where = where or tempfile.mkdtemp(prefix="weftline-")
+    if where is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="weftline-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -32,6 +35,19 @@ def spread(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
     return df.repartition(cores) if cores > 1 and size < cores * least_bytes else df
 
 
+def running_sum(df: DataFrame, order: list[Column], value: Column, name: str = "before") -> DataFrame:
+    """`df` with the sum of `value` over the rows before each one in a total order. Rows are range-partitioned; each
+    partition sums up its own, and one sum a partition is added up in one place."""
+    tagged = df.withColumns({f"_o{i}": c for i, c in enumerate(order)} | {"_v": value})
+    keys = [f"_o{i}" for i in range(len(order))]
+    tagged = checkpoint(tagged.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    sums = tagged.groupBy("_part").agg(F.sum("_v").alias("_s"))
+    offsets = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum("_v").over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = tagged.withColumn("_own", own).join(F.broadcast(offsets), F.col("_part") == F.col("_p"))  # a row a partition
+    return ranked.withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_p", "_before", "_own", "_v", *keys)
+
+
 def rank_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """`df` with each row's place (from 0) in a total order. Rows are range-partitioned and sorted; only one
     count a partition is added up in one place."""

@@ -120,6 +120,17 @@ def crawl_local_filter(spark, sf_dir):
     return crawl.local_filter(_urls(spark, sf_dir), F.col("size"), skip=("is_html", "is_long", "is_short_sub")).select("page_id", "cleaned_url")
 
 
+_LONG_SQL = _URL_SQL.replace("from pages),", "from (select page_id, url || case when page_id % 3 > 0 then '.html' else '' end as url, repeat(html, 1 + (page_id % 5)::int) as html from pages)),")
+
+
+@query(f"{_LONG_SQL}, f as (select page_id, cleaned_url, {_FLAGS} from w) select page_id, cleaned_url from f where is_html and is_long and is_kept_tld and has_no_country and is_short_domain and has_no_dash and is_short_sub")
+def crawl_whole_filter(spark, sf_dir):
+    """All seven rules at once, over the pages with longer names and texts, so that some pass each."""
+    pages = table(spark, sf_dir, "pages").withColumn("url", F.concat("url", F.when(F.col("page_id") % 3 > 0, ".html").otherwise("")))
+    size = (F.length("html") * (1 + F.col("page_id") % 5)).cast("string")
+    return crawl.local_filter(crawl.with_url_parts(pages.withColumn("size", size)), F.col("size")).select("page_id", "cleaned_url")
+
+
 @query(f"{_URL_SQL} select cleaned_url, min(page_id) as page_id from w group by cleaned_url")
 def crawl_first_seen(spark, sf_dir):
     return crawl.first_seen(_urls(spark, sf_dir).select("cleaned_url", "page_id"), ["page_id"])
@@ -189,9 +200,8 @@ def crawl_already_fetched(spark, sf_dir):
     return crawl.already_fetched(pages.where(F.length("html") > 2000).select("page_id"), pages.where("page_id % 3 = 0"), "page_id")
 
 
-@query("""with l as (select page_id, (page_id % 4)::varchar as file, page_id % 5 as kind, url, md5(url) as d from pages where page_id % 5 not in (3, 4)),
-n as (select *, row_number() over (partition by file order by page_id) as r from l)
-select 'index-' || file as file, page_id as line_no, '200' as status, url, 'seg.gz' as filename, '9000' as length, 'text/html' as mime, '17' as "offset", d as digest from n where r <= 20""")
+@query("""with l as (select page_id, (page_id % 4)::varchar as file, page_id % 5 as kind, url, md5(url) as d from pages where page_id % 5 not in (3, 4))
+select 'index-' || file as file, page_id as line_no, '200' as status, url, 'seg.gz' as filename, '9000' as length, 'text/html' as mime, '17' as "offset", d as digest from l""")
 def cdx_parse(spark, sf_dir):
     """Index lines made of the pages: whole ones, with a leading object, without a key, and broken."""
     pages = table(spark, sf_dir, "pages")
@@ -200,7 +210,7 @@ def cdx_parse(spark, sf_dir):
     kind = F.col("page_id") % 5
     line = F.when(kind == 3, F.to_json(F.struct(*fields[1:]))).when(kind == 4, F.substring(whole, 1, 40)).when(kind == 2, F.concat(F.lit('{"a": 1} '), whole)).otherwise(F.concat(F.lit("com,example)/ 2012 "), whole))
     lines = pages.select(F.concat(F.lit("index-"), (F.col("page_id") % 4).cast("string")).alias("file"), F.col("page_id").alias("line_no"), line.alias("value"))
-    return crawl.parse_index(lines, 20)
+    return crawl.parse_index(lines)
 
 
 @query("""select page_id, md5(s) as digest, length(s) as n_chars from (select page_id, case when strpos(html, '</html>') > 0

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
-from weftline.operators import blocks, dom, extract, features, graph, models, nn, scoring
+from weftline.operators import blocks, crawl, dom, extract, features, graph, models, nn, scoring
 
 from .lineage import checkpoint
 from .registry import query, table
@@ -68,9 +68,9 @@ def text_tidy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split(text.tidy_lines(F.col("text")), "\n")).cast("long").alias("n_lines"))
 
 
-@query("""select doc_id, encoding, md5(body) as digest from (select doc_id, 'utf-8' as encoding, text as body from documents where not contains(text, chr(13)))""")
+@query("""select doc_id, encoding, md5(body) as digest from (select doc_id, 'utf-8' as encoding, text as body from documents)""")
 def page_header(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\r")))
+    docs = table(spark, sf_dir, "documents")
     page = F.concat(F.lit('<text id="u" title="t" encoding="UTF-8">\n'), F.col("text"), F.lit("\n</text>"))
     return docs.select("doc_id", text.page_encoding(page).alias("encoding"), F.md5(text.strip_page_header(page)).alias("digest"))
 
@@ -308,3 +308,42 @@ def leaf_classifier(spark, sf_dir):
     rows = checkpoint(models.leaf_features(_blocks(spark, sf_dir)).join(truth, ["page_id", "node_id"]))
     scored = models.train_logistic(rows.select("features", F.col("label").cast("double").alias("label"))).transform(rows.drop("label")).join(truth, ["page_id", "node_id"])
     return _rounded(scoring.accuracy(scored.withColumn("prediction", F.col("prediction").cast("int")), "prediction", "label"), "accuracy", "precision", "recall", "f1")
+
+
+@query("""with s as (select vec_id, label, list_transform(embedding[1:4], lambda x: x::double) as v from embeddings),
+c as (select vec_id, label, unnest(range(4)) as i, unnest(v) as x from s),
+r as (select *, row_number() over (partition by vec_id order by x desc, i) <= 2 as yes, i = label % 4 as real from c),
+n as (select count(*) filter (where yes and real) as tp, count(*) filter (where yes and not real) as fp, count(*) filter (where not yes and real) as fn from r)
+select tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2.0::double * tp / (2 * tp + fp + fn), 6) as f1 from n""")
+def topk_class_f1(spark, sf_dir):
+    """Of class scores (the first four places of a vector), the two best count as predicted."""
+    rows = table(spark, sf_dir, "embeddings").select(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("scores"), (F.col("label") % 4).alias("truth"))
+    return _rounded(scoring.class_confusion(rows, "scores", "truth", top_k=2), "precision", "recall", "f1")
+
+
+@query("""with c as (select label % 4 = 1 as real, embedding[2]::double > 0.1 as yes from embeddings),
+n as (select count(*) filter (where yes and real) as tp, count(*) filter (where yes and not real) as fp, count(*) filter (where not yes and real) as fn from c)
+select tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from n""")
+def one_class_f1(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("scores"), (F.col("label") % 4).alias("truth"))
+    return _rounded(scoring.class_confusion(rows, "scores", "truth", class_id=1, threshold=0.1), "precision", "recall", "f1")
+
+
+@query("""with l as (select l_orderkey as k, l_linenumber as p, (l_returnflag = 'R')::int as y, (l_quantity > 25)::int as g from lineitem)
+select round(avg((2 * a.y + b.y = 2 * a.g + b.g)::int), 6) as accuracy, count(*) as n from l a join l b on a.k = b.k and b.p = a.p + 1""")
+def edge_accuracy(spark, sf_dir):
+    """Neighbouring lines of an order as edges of four classes: guessed by quantity, true by return flag."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_quantity") > 25).cast("int").alias("g"))
+    return _rounded(scoring.class_accuracy(scoring.edge_classes(rows, "k", "p", ["y", "g"]), "g", "y"), "accuracy")
+
+
+@query("select distinct l_linenumber::bigint as fold from lineitem where l_linenumber in (select o_orderkey % 9 from orders)")
+def common_folds(spark, sf_dir):
+    weights = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 9).cast("long").alias("fold"))
+    return scoring.common_folds(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("fold")), weights, "fold")
+
+
+@query("select l_orderkey, l_linenumber, count(*) over (partition by l_orderkey) as n_in_group from lineitem qualify n_in_group >= 2")
+def least_blocks(spark, sf_dir):
+    """Documents of at least two blocks: orders stand for documents, lines for blocks."""
+    return crawl.group_gate(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], 2)

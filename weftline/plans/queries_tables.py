@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import css, vectors
 from weftline.functions.text import tokens
-from weftline.operators import graph, nn, sampling
+from weftline.operators import graph, nn, sampling, scoring
 
 from .registry import query, table
 
@@ -121,17 +121,13 @@ def patch_windows(spark, sf_dir):
 _D = "list_transform(embedding, lambda x: x::double)"
 
 
-@query(f"""with e as (select vec_id, {_D} as v from embeddings), q as (select vec_id as query_id, v as qv from e where vec_id < 5),
+@query(f"""with e as (select vec_id, {_D} as v from embeddings), q as (select vec_id as query_id, v as qv from e where vec_id % 20 = 0),
 s as (select query_id, vec_id, round(list_cosine_similarity(qv, v), 6) + 0.0::double as score from q, e where vec_id <> query_id)
 select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""")
 def emb_cosine_topk(spark, sf_dir):
-    """The ten nearest of five given vectors; the five are broadcast, the table is scanned once."""
-    from pyspark.sql import Window
-
+    """The ten nearest of every twentieth vector among all."""
     e = table(spark, sf_dir, "embeddings")
-    given = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    scored = e.join(F.broadcast(given), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(vectors.cosine(F.col("qv"), F.col("embedding")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 10")
+    return scoring.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 10)
 
 
 @query(f"select vec_id, unnest(range(len(v)))::int as dim, round(unnest(v) / n, 5) + 0.0::double as unit from (select vec_id, v, sqrt(list_dot_product(v, v)) as n from (select vec_id, {_D} as v from embeddings))")
@@ -162,29 +158,33 @@ def class_weights(spark, sf_dir):
 
 @query("""with s as (select doc_id, quality as y, (doc_id % 9 + 0.5) / 9.5::double as p from labels)
 select doc_id, round(-((y * 0.9 + 0.05) * ln(p) + (1 - y * 0.9 - 0.05) * ln(1 - p)), 6) as bce, round(-ln(case when y = 1 then p else 1 - p end), 6) as cce,
-  round(16 * (p - case when y = 1 then 0.5 else 0 end), 6) as arc, round(ln(p / (1 - p)), 6) as logit from s""")
+  round(16 * ((pi() - 2 * acos(2 * p - 1)) / pi() - case when y = 1 then 1.0 / pi() else 0 end), 6) as arc, round(ln(p / (1 - p)), 6) as logit,
+  round(case when y <> 1 then 30 * (2 * p - 1) when acos(2 * p - 1) + 0.5 < pi() then 30 * cos(acos(2 * p - 1) + 0.5) else 30 * (2 * p - 1 - 0.5 * sin(0.5)) end, 6) as angular,
+  round(ln(exp(p) + exp(1 - p)) - case when y = 1 then p else 1 - p end, 6) as softmax from s""")
 def loss_columns(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"), ((F.col("doc_id") % 9 + 0.5) / 9.5).cast("double").alias("p"))
     y, p = F.col("y"), F.col("p")
     columns = {
         "bce": vectors.binary_cross_entropy(y, p, smoothing=0.1),
         "cce": vectors.categorical_cross_entropy(F.array(1 - y, y).cast("array<double>"), F.array(1 - p, p)),
-        "arc": vectors.linear_arc_margin(p, y == 1),
+        "arc": vectors.linear_arc_margin(2 * p - 1, y == 1, scale=16.0),
+        "angular": vectors.arc_margin(2 * p - 1, y == 1),
+        "softmax": vectors.softmax_cross_entropy(F.array(1 - p, p), y),
         "logit": vectors.inverse_sigmoid(p),
     }
     return rows.select("doc_id", *[F.round(c, 6).alias(n) for n, c in columns.items()])
 
 
 @query("""with x as (select label, unnest(range(1, len(embedding) + 1)) as dim, unnest(embedding)::double as v, vec_id from embeddings)
-select label, dim - 1 as dim, round(sum(v), 5) + 0.0::double as sum, round(avg(v), 5) + 0.0::double as mean, round(greatest(max(v), 0), 5) as max from x where dim <= 8 group by label, dim""")
+select label, dim - 1 as dim, round(sum(v), 5) + 0.0::double as sum, round(avg(v), 5) + 0.0::double as mean, round(greatest(max(v), 0), 5) as max from x group by label, dim""")
 def readout_groups(spark, sf_dir):
-    """Sum, mean and (padded) maximum of each of the first eight places over a class's vectors."""
-    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
+    """Sum, mean and (padded) maximum of each place over a class's vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
     out = rows.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.greatest(F.max("v"), F.lit(0.0)).alias("max"))
     return out.withColumns({c: F.round(c, 5) for c in ("sum", "mean", "max")})
 
 
-_CHAIN = """with v as (select label::bigint as page_id, vec_id::int as node_id, list_transform(embedding[1:2], lambda x: round(x::double, 3)) as x, row_number() over (partition by label order by vec_id) as k from embeddings),
+_CHAIN = """with v as (select label::bigint as page_id, vec_id::int as node_id, list_transform(embedding, lambda x: round(x::double, 3)) as x, row_number() over (partition by label order by vec_id) as k from embeddings),
 e as (select a.page_id, a.node_id as src, b.node_id as dst, 0 as type_id from v a join v b on a.page_id = b.page_id and a.k = b.k + 1
   union all select a.page_id, a.node_id, b.node_id, 1 from v a join v b on a.page_id = b.page_id and a.k = b.k - 1)"""
 
@@ -195,7 +195,7 @@ def _chain(spark, sf_dir):
 
     e = table(spark, sf_dir, "embeddings")
     w = Window.partitionBy("label").orderBy("vec_id")
-    rows = e.select(F.col("label").cast("long").alias("page_id"), F.col("vec_id").cast("int").alias("node_id"), F.transform(F.slice("embedding", 1, 2), lambda x: F.round(x.cast("double"), 3)).alias("x"), F.lag("vec_id").over(w).cast("int").alias("before"), F.lead("vec_id").over(w).cast("int").alias("after"))
+    rows = e.select(F.col("label").cast("long").alias("page_id"), F.col("vec_id").cast("int").alias("node_id"), F.transform("embedding", lambda x: F.round(x.cast("double"), 3)).alias("x"), F.lag("vec_id").over(w).cast("int").alias("before"), F.lead("vec_id").over(w).cast("int").alias("after"))
     edges = rows.select("page_id", F.col("node_id").alias("src"), F.inline(F.array(F.struct(F.col("before").alias("dst"), F.lit(0).alias("type_id")), F.struct(F.col("after").alias("dst"), F.lit(1).alias("type_id"))))).where("dst is not null")
     return rows.select("page_id", "node_id", "x"), edges
 
@@ -205,13 +205,13 @@ def vertex_degrees(spark, sf_dir):
     return _chain(spark, sf_dir)[1].groupBy("page_id", F.col("src").alias("node_id"), "type_id").agg(F.greatest(F.count("*"), F.lit(1)).alias("degree"))
 
 
-@query(f"""{_CHAIN}, m as (select e.page_id, src, type_id, avg(x[1] * case type_id when 0 then 1.0 else 0.5 end + x[2] * case type_id when 0 then -1.0 else 0.25 end) as a,
-    avg(x[1] * case type_id when 0 then 0.5 else 0.0 end + x[2] * case type_id when 0 then 2.0 else 1.0 end) as b
+@query(f"""{_CHAIN}, m as (select e.page_id, src, type_id, avg(list_sum(list_transform(x, lambda v, i: v * (((i - 1) * 7 + type_id * 5) % 11 - 5)::double))) as a,
+    avg(list_sum(list_transform(x, lambda v, i: v * (((i - 1) * 7 + 3 + type_id * 5) % 11 - 5)::double))) as b
   from e join v on v.page_id = e.page_id and v.node_id = e.dst group by all),
 s as (select page_id, src, greatest(sum(a), 0) as a, greatest(sum(b), 0) as b from m group by all)
-select v.page_id, v.node_id, round(coalesce(a, x[1]), 5) + 0.0::double as y0, round(coalesce(b, x[2]), 5) + 0.0::double as y1 from v left join s on s.page_id = v.page_id and s.src = v.node_id""")
+select v.page_id, v.node_id, round(coalesce(a, 0), 5) + 0.0::double as y0, round(coalesce(b, 0), 5) + 0.0::double as y1 from v left join s on s.page_id = v.page_id and s.src = v.node_id""")
 def gcn_mean_layer(spark, sf_dir):
-    weights = [[[1.0, 0.5], [-1.0, 2.0]], [[0.5, 0.0], [0.25, 1.0]]]
+    weights = [[[float((i * 7 + o * 3 + t * 5) % 11 - 5) for o in range(2)] for i in range(64)] for t in range(2)]
     out = nn.gcn_mean_sql(*_chain(spark, sf_dir), weights)
     return out.select("page_id", "node_id", F.round(F.element_at("y", 1), 5).alias("y0"), F.round(F.element_at("y", 2), 5).alias("y1"))
 

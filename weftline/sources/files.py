@@ -58,7 +58,7 @@ def read_feature_rows(spark: SparkSession, path: str, lead: int = 2) -> DataFram
     """CSV rows of `lead` leading numbers, then features: head array, f array."""
     values = F.transform(F.split("value", ","), lambda x: x.try_cast("double"))
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), values.alias("v")).where(F.size("v") > lead)
-    return rows.select("path", F.slice("v", 1, lead).alias("head"), F.slice("v", lead + 1, 100_000).alias("f"))
+    return rows.select("path", F.slice("v", 1, lead).alias("head"), F.slice("v", F.lit(lead + 1), F.size("v")).alias("f"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
