@@ -235,25 +235,22 @@ def links(distinct: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the component's smallest node.
 
-    Alternating large-star and small-star steps; each round is checkpointed, and the rounds end when a
-    round changes no edge, which a count and an order-free checksum tell. Rounds grow with the logarithm
-    of the longest chain.
+    Alternating large-star and small-star steps, checkpointed; they end when every node with a smaller neighbour has
+    no other neighbour, for then each component is a star around its smallest node. Edges that are stars already need
+    no step; rounds grow with the logarithm of the longest chain.
     """
     big, small = F.greatest("a", "b"), F.least("a", "b")
     stars = checkpoint(edges.where("a <> b").select(big.alias("a"), small.alias("b")).distinct())
-    mark = None
     while True:
-        both = stars.union(stars.select(F.col("b"), F.col("a"))).toDF("n", "m")
-        least = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        both = stars.union(stars.select("b", "a")).toDF("n", "m")
+        least = checkpoint(both.groupBy("n").agg(F.min("m").alias("low"), F.count("*").alias("c")))
+        if not least.where("low < n and c > 1").count():
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        low = least.select("n", F.least("n", "low").alias("low"))
+        large = both.where("m > n").join(low, "n").select(F.col("m").alias("a"), F.col("low").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("low"))
-        joined = large.join(down, "a")
-        small_star = joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(down.select("a", F.col("low").alias("b")))
+        small_star = large.join(down, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(down.select("a", F.col("low").alias("b")))
         stars = checkpoint(small_star.distinct())
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == mark:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = now
 
 
 def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
