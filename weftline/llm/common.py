@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -57,6 +58,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffles and checkpoints that nothing refers to any more. Left alone, they stay
+    on disk until the driver's heap is next collected, which a loop of small jobs may not bring about."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Plan steps that give the same rows in the same order and partitions each time they run.
 _REPLAYED = {"Project", "Filter", "LogicalRelation", "Relation", "LogicalRDD"}
 

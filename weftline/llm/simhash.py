@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, checkpoint, read
+from .common import WORD_BYTES, checkpoint, read, release
 
 
 @dataclass(frozen=True)
@@ -251,6 +251,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("low"))
         small_star = large.join(down, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(down.select("a", F.col("low").alias("b")))
         stars = checkpoint(small_star.distinct())
+        del both, least, low, large, down, small_star
+        release(stars.sparkSession)
 
 
 def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
