@@ -93,6 +93,25 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_components_against_union_find(spark):
+    rng = np.random.default_rng(3)
+    some = rng.integers(-150, 150, (120, 2)).tolist()
+    cases = [some, [(k, -5) for k in range(50)] + [(1001, 999), (999, 1001)], [(1, 1), (2, 3), (2, 3)], []]
+    for edges in cases:
+        parent = {}
+
+        def root(x, parent=parent):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+        rows = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert sorted((r.node, r.root) for r in rows) == sorted((x, root(x)) for x in list(parent) if root(x) != x)
+
+
 def test_chain_of_components(spark):
     n = 300
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1000, 2000), (5000, 5000)], "a long, b long")
