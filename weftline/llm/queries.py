@@ -1,6 +1,7 @@
 """The queries of this subpackage, by name, and the SQL that some of them equal."""
 
 from . import chat_rotation, url_templates
+from .change_applier import op13_change_applier
 from .chat_rotation import op1_chat_rotation
 from .decontaminate import op9_decontamination
 from .lm_scoring import op6_lattice_scores
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_token_rollups": op8_token_rollups,
     "op9_decontamination": op9_decontamination,
     "op10_url_templates": op10_url_templates,
+    "op13_change_applier": op13_change_applier,
 }
 
 ORACLE_SQL = {"op1_chat_rotation": chat_rotation.ORACLE, "op10_url_templates": url_templates.ORACLE}
