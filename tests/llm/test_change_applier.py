@@ -106,16 +106,16 @@ def made():
     return rows
 
 
-@pytest.mark.parametrize("p", [ApplierParams(page_size=16, bucket_clients=1, open_pages=2), ApplierParams(page_size=8, bucket_clients=100, open_pages=3)])
+@pytest.mark.parametrize("p", [ApplierParams(page_size=16, bucket_clients=1, open_pages=2), ApplierParams(batches=4, page_size=8, bucket_clients=100, open_pages=3)])
 def test_pages_hot_client_nulls_ties_and_repeats(spark, tmp_path, p):
     rows = made()
     clean = [r[:8] + (None if r[8] is not None and math.isinf(r[8]) else r[8],) for r in rows]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    assert result(apply_changes(spark, df, f"file://{tmp_path}/s", p)) == plain(clean)
+    assert result(apply_changes(spark, df, f"file://{tmp_path}/s", p)) == plain(clean, p.batches)
 
 
 def test_empty_table(spark, tmp_path):
-    assert apply_changes(spark, spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/s").collect() == []
+    assert apply_changes(spark, spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/s", ApplierParams(batches=1)).collect() == []
 
 
 def test_only_touched_pages_load():

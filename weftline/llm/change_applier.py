@@ -306,6 +306,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # each start has stores of its own, which else stay open and on disk
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
