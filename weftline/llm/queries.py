@@ -1,9 +1,11 @@
 """The queries of this subpackage, by name, and the SQL that some of them equal."""
 
-from . import chat_rotation, url_templates
+from . import chat_rotation, divergence, line_dedup, url_templates
 from .change_applier import op13_change_applier
 from .chat_rotation import op1_chat_rotation
 from .decontaminate import op9_decontamination
+from .divergence import op11_source_divergence
+from .line_dedup import op12_line_dedup
 from .lm_scoring import op6_lattice_scores
 from .mil_classifier import op3_quality_classifier
 from .pieces import op2_sentencepiece
@@ -24,7 +26,9 @@ QUERIES = {
     "op8_token_rollups": op8_token_rollups,
     "op9_decontamination": op9_decontamination,
     "op10_url_templates": op10_url_templates,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_line_dedup": op12_line_dedup,
     "op13_change_applier": op13_change_applier,
 }
 
-ORACLE_SQL = {"op1_chat_rotation": chat_rotation.ORACLE, "op10_url_templates": url_templates.ORACLE}
+ORACLE_SQL = {"op1_chat_rotation": chat_rotation.ORACLE, "op10_url_templates": url_templates.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_line_dedup": line_dedup.ORACLE}
