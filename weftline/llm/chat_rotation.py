@@ -8,7 +8,8 @@ usual one is a single part. All work on turns shares one exchange, by (conversat
 
 Defined cases: a null text is empty, a null role the participant "unknown"; rows without a turn number form
 a part of their own, -1, and parts of negative turn numbers count down from -2; equal turn numbers are ordered by role, then text, and repeated rows are rendered
-each; control marks in a text are broken up by a space; conversations of system turns alone have no
+each; control marks in a text or role are broken up by a space, and control characters and line breaks in a role are one
+space where it names a user (`speaker` is the role as it is); an empty role is a participant with an empty name; conversations of system turns alone have no
 participant and no row; an empty table gives an empty result. Offsets of spans count from the start of their part.
 Only the named columns are read, so others may have any name. A very long text is rendered whole. DataFrame
 functions only.
@@ -32,6 +33,16 @@ class ChatParams:
     system_role: str = "system"
 
 
+def plain(text: Column) -> Column:
+    """Without control marks: a mark's first two characters are parted, also where taking one apart would leave another."""
+    return F.regexp_replace(text, r"<(?=\|)", "< ")
+
+
+def name_of(role: Column) -> Column:
+    """A role as it stands in a head: without control marks, in one line."""
+    return plain(F.regexp_replace(role, r"[\x00-\x1F\x7F\x{85}\x{2028}\x{2029}]+", " "))
+
+
 def rotate(conversations: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
     """conv_id, part_no, speaker, n_turns, dialogue, spans (array of start and end, code points)."""
     turns = conversations.select(
@@ -39,7 +50,7 @@ def rotate(conversations: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
         F.coalesce(F.floor(F.col("turn") / p.part_turns) - (F.col("turn") < 0).cast("long"), F.lit(-1)).cast("long").alias("part_no"),
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("role"),
-        F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|", "< |").alias("text"),
+        plain(F.coalesce("text", F.lit(""))).alias("text"),
     )
     speakers = turns.where(F.col("role") != p.system_role).groupBy("conv_id").agg(F.sort_array(F.collect_set("role")).alias("speakers"))
     parts = turns.select("conv_id", "part_no").distinct()
@@ -47,7 +58,7 @@ def rotate(conversations: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
     rows = turns.join(known, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part_no") == F.col("_part"))).select("conv_id", "part_no", "turn", "role", "text", F.explode("speakers").alias("speaker"))
 
     own = F.col("role") == F.col("speaker")
-    head = F.when(own, f"{OPEN}assistant\n").when(F.col("role") == p.system_role, f"{OPEN}system\n").otherwise(F.concat(F.lit(f"{OPEN}user name="), F.col("role"), F.lit("\n")))
+    head = F.when(own, f"{OPEN}assistant\n").when(F.col("role") == p.system_role, f"{OPEN}system\n").otherwise(F.concat(F.lit(f"{OPEN}user name="), name_of(F.col("role")), F.lit("\n")))
     rows = rows.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, F.col("text"), F.lit(f"{CLOSE}\n"))).withColumn("own", own)
     key = ["conv_id", "part_no", "speaker"]
     before = Window.partitionBy(*key).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,16 +73,17 @@ def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(read(spark, sf_dir, "conversations")).withColumn("spans", spans)
 
 
-ORACLE = f"""
+ORACLE = rf"""
 with t as (
   select conv_id, coalesce(floor(turn / 1024.0) - (turn < 0)::int, -1)::bigint as part_no, turn, coalesce(role, 'unknown') as role,
-    replace(coalesce(text, ''), '<|', '< |') as text
+    replace(coalesce(text, ''), '<|', '< |') as text,
+    replace(regexp_replace(coalesce(role, 'unknown'), '[\x00-\x1F\x7F\x{{85}}\x{{2028}}\x{{2029}}]+', ' ', 'g'), '<|', '< |') as name
   from conversations),
 s as (select distinct conv_id, role as speaker from t where role <> 'system'),
 r as (
   select t.conv_id, t.part_no, s.speaker, t.turn, t.role, t.text, t.role = s.speaker as own,
     case when t.role = s.speaker then '{OPEN}assistant' || chr(10) when t.role = 'system' then '{OPEN}system' || chr(10)
-      else '{OPEN}user name=' || t.role || chr(10) end as head
+      else '{OPEN}user name=' || t.name || chr(10) end as head
   from t join s on t.conv_id is not distinct from s.conv_id),
 g as (select *, head || text || '{CLOSE}' || chr(10) as segment from r),
 p as (

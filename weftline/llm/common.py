@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
@@ -58,11 +57,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffles and checkpoints that nothing refers to any more. Left alone, they stay
-    on disk until the driver's heap is next collected, which a loop of small jobs may not bring about."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def few_tasks(df: DataFrame, rows: int, rows_a_task: int) -> DataFrame:
+    """`df`, known to have about so many rows, in a partition for each `rows_a_task` of them, or as it is if it has fewer.
+    Small tables of a loop would else be spread over all shuffle partitions, a file each in every shuffle and checkpoint."""
+    return df.coalesce(max(1, -(-rows // rows_a_task)))
 
 
 #: Plan steps that give the same rows in the same order and partitions each time they run.

@@ -6,22 +6,24 @@ on) and, by a learned layer, an embedding h. Gated attention gives the passage t
 softmax(w . (tanh(V h) * sigmoid(U h))); the weighted sum of the embeddings is the document's
 representation, from which a logistic unit gives the score. Only the documents' labels are learned from.
 
-Fit: on at most `fit_documents` labelled rows of each label, those with the smallest hash of their id, in that order
-while all their passages together are `fit_passages` at most; every passage of a fitted row is used. The two numbers
-bound what the driver holds. Scores use every passage of every document in one narrow pass.
+Fit: on at most `fit_documents` labelled rows of each label, those with the smallest hash of their id, in that order; a row
+whose passages would bring its label's to more than half of `fit_passages` is passed over, and the next one that fits is
+taken. Every passage of a fitted row is used. The two numbers bound what the driver holds. Scores use every passage of every document in one narrow pass.
 
 Defined cases: a null or wordless text is one passage with all features zero; without labels of both
-kinds every score is the share of label 1 (0.5 without any); repeated rows get equal scores; an empty
+kinds, or texts short enough of both, a warning is given and every score is the share of label 1 (0.5 without any); repeated rows get equal scores; an empty
 table gives an empty result; a very long text is one bag in a block of its own. Labels, ids and other columns are
 never inputs of a score; only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,12 +186,23 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 4 == 2, F.lit(True))
 
 
+def _fitting(sizes: pd.DataFrame, most: int) -> list[tuple]:
+    """(id, passages) in the order given, without the texts that would exceed `most` passages in all."""
+    taken, total = [], 0
+    for i, n in zip(sizes["_id"].tolist(), sizes["n"].tolist()):
+        if total + n <= most:
+            taken.append((i, n))
+            total += n
+    return taken
+
+
 def fit_mil(docs: DataFrame, labels: DataFrame, p: MilParams = MilParams(), id_column: str = "doc_id", text_column: str = "text") -> MilModel:
     """labels: id_column and `label` (0 or 1), already without held-out rows. Conflicting labels of an id count as 0."""
     clean = labels.where("label in (0, 1)").groupBy(id_column).agg(F.min("label").alias("label")).where(F.col(id_column).isNotNull())
     shares = {r["label"]: r["count"] for r in clean.groupBy("label").count().collect()}
     model = MilModel((1 << p.buckets_log2) + _STATS, p, (shares.get(1, 0) / sum(shares.values())) if shares else 0.5)
     if len(shares) < 2:
+        warnings.warn("labels of one kind only: the classifier answers with their share", stacklevel=2)
         return model
     by_hash = [F.xxhash64(F.col(id_column), F.lit(p.seed)), F.col(id_column)]
     sample = [clean.where(F.col("label") == k).orderBy(*by_hash).limit(p.fit_documents) for k in (0, 1)]
@@ -204,12 +217,13 @@ def fit_mil(docs: DataFrame, labels: DataFrame, p: MilParams = MilParams(), id_c
 
     kind = docs.schema[id_column].dataType.simpleString()
     made = checkpoint(rows.mapInArrow(collect, f"label int, _id {kind}, n long, x binary").withColumn("h", F.xxhash64("_id", F.lit(p.seed))))
-    sizes = made.select("_id", "label", "h", "n").toPandas().sort_values(["h", "_id"])  # 2 * fit_documents rows and their copies
-    taken = sizes[sizes.groupby("label").n.cumsum() <= p.fit_passages // 2]
-    if taken.label.nunique() < 2:
+    sizes = made.groupBy("label", "_id", "h").agg(F.min("n").alias("n")).toPandas().sort_values(["h", "_id"])  # 2 * fit_documents rows
+    taken = [_fitting(sizes[sizes.label == k], p.fit_passages // 2) for k in (0, 1)]
+    if not all(map(len, taken)):
+        warnings.warn("no labelled text of one label has few enough passages: the classifier answers with the labels' share", stacklevel=2)
         return model
-    last = taken.groupby("label").h.max()
-    got = made.where(" or ".join(f"label = {k} and h <= {h}" for k, h in last.items())).select("label", "_id", "x").toPandas().sort_values(["_id", "x"]).drop_duplicates("_id")
+    chosen = docs.sparkSession.createDataFrame([(i, int(n)) for rows in taken for i, n in rows], f"_id {kind}, n long")
+    got = made.join(F.broadcast(chosen), ["_id", "n"]).groupBy("_id", "label").agg(F.min("x").alias("x")).toPandas().sort_values("_id")
     bags = [np.frombuffer(x, np.float16).reshape(-1, (1 << p.buckets_log2) + _STATS) for x in got.x]
     y = got.label.to_numpy(float)
     fitted = {k: max((y == k).sum(), 1) for k in (0, 1)}

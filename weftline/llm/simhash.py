@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, checkpoint, read, release
+from .common import WORD_BYTES, checkpoint, few_tasks, read
 
 
 @dataclass(frozen=True)
@@ -232,27 +232,28 @@ def links(distinct: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     return dealt.mapInArrow(_spanning(p), "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows_a_task: int = 1 << 17) -> DataFrame:
     """(node, root) of every node with an edge; root is the component's smallest node.
 
     Alternating large-star and small-star steps, checkpointed; they end when every node with a smaller neighbour has
     no other neighbour, for then each component is a star around its smallest node. Edges that are stars already need
-    no step; rounds grow with the logarithm of the longest chain.
+    no step; rounds grow with the logarithm of the longest chain, and no step has more rows than twice the edges.
     """
     big, small = F.greatest("a", "b"), F.least("a", "b")
     stars = checkpoint(edges.where("a <> b").select(big.alias("a"), small.alias("b")).distinct())
+    n = 2 * stars.count()
+    few = lambda df: few_tasks(df, n, rows_a_task)
     while True:
+        stars = few(stars)
         both = stars.union(stars.select("b", "a")).toDF("n", "m")
-        least = checkpoint(both.groupBy("n").agg(F.min("m").alias("low"), F.count("*").alias("c")))
-        if not least.where("low < n and c > 1").count():
+        least = checkpoint(few(both.groupBy("n").agg(F.min("m").alias("low"), F.count("*").alias("c"))))
+        if not least.where("low < n and c > 1").limit(1).count():
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
         low = least.select("n", F.least("n", "low").alias("low"))
-        large = both.where("m > n").join(low, "n").select(F.col("m").alias("a"), F.col("low").alias("b"))
-        down = large.groupBy("a").agg(F.min("b").alias("low"))
-        small_star = large.join(down, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(down.select("a", F.col("low").alias("b")))
-        stars = checkpoint(small_star.distinct())
-        del both, least, low, large, down, small_star
-        release(stars.sparkSession)
+        large = few(both.where("m > n").join(low, "n")).select(F.col("m").alias("a"), F.col("low").alias("b"))
+        down = few(large.groupBy("a").agg(F.min("b").alias("low")))
+        small_star = few(large.join(down, "a")).where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(down.select("a", F.col("low").alias("b")))
+        stars = checkpoint(few(small_star.distinct()))
 
 
 def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -2,9 +2,10 @@
 
 Paths are cut at '/'. Digit runs become {n} at once. Level by level, below each (host, template so far),
 a segment stays a branch of its own only if it has `min_pages` and its labelled pages differ from those of its
-siblings (a two-proportion test); all other branches merge into the wildcard *. Levels go on to the longest
-path; wildcards that end a path beyond the first `levels` segments are written as one **. A template whose share of good labelled pages, smoothed towards the share of all, is
-under the least purity is rejected. All steps run on one row a (host, path shape), counted by a
+siblings (a two-proportion test); all other branches merge into the wildcard *. Levels go on as long as some host has
+`min_pages` pages there, so a single long path costs no round; wildcards that end a path beyond the first `levels`
+segments are written as one **. A template's purity is its share of good labelled pages, smoothed towards the share of all. It
+is rejected where the purity is under `min_purity`, or `deviations` standard errors and more under the share of all. All steps run on one row a (host, path shape), counted by a
 pre-aggregation; pages without a key never meet the labels. Pages get their templates back by a broadcast of the hot
 shapes, fewer than 1,000 by definition, and a join with the others. So neither a hot host nor a hot path is a hot key.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, read
@@ -39,6 +40,7 @@ class TemplateParams:
     chi_square: float = 3.84
     smoothing: float = 10.0
     min_purity: float = 0.5
+    deviations: float = 1.0
 
 
 def host_of(url: Column) -> Column:
@@ -58,10 +60,20 @@ def rule_match(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return name, verdict
 
 
+def _deepest(shapes: DataFrame, p: TemplateParams) -> int:
+    """The last level at which some host has `min_pages` pages and two labelled ones with a segment there: below it no
+    branch can be one of its own, however long the path."""
+    cut = shapes.withColumn("depth", F.length("shape") - F.length(F.replace("shape", F.lit("/"), F.lit(""))))
+    by_depth = cut.groupBy("host", "depth").agg(F.sum("n").alias("n"), F.sum("n_lab").alias("n_lab"))
+    deeper = Window.partitionBy("host").orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a row a depth
+    reached = by_depth.select("depth", F.sum("n").over(deeper).alias("n"), F.sum("n_lab").over(deeper).alias("n_lab"))
+    return reached.where((F.col("n") >= p.min_pages) & (F.col("n_lab") > 1)).agg(F.max("depth")).first()[0] or 0
+
+
 def templates(shapes: DataFrame, p: TemplateParams) -> DataFrame:
     """shapes (host, shape, n, n_lab, n_bad) with the template of each."""
     grown = shapes.withColumn("template", F.lit("")).withColumn("head", F.lit(""))
-    depth = shapes.agg(F.max(F.length("shape") - F.length(F.replace("shape", F.lit("/"), F.lit(""))))).first()[0] or 0
+    depth = _deepest(shapes, p)
     for k in range(1, depth + 1):
         grown = grown.withColumn("seg", F.split_part("shape", F.lit("/"), F.lit(k + 1)))
         child = grown.where("seg <> ''").groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "n_lab", "n_bad")))
@@ -78,6 +90,15 @@ def templates(shapes: DataFrame, p: TemplateParams) -> DataFrame:
         if k <= p.levels:
             grown = grown.withColumn("head", F.col("template"))
         grown = checkpoint(grown)  # one row a path shape; else each level would repeat all those above it
+
+    def wild(first: int, last: int | None) -> Column:
+        """A wildcard for each segment of these levels that is not empty."""
+        segments = F.split("shape", "/")
+        there = F.slice(segments, first + 1, F.greatest(F.size(segments) - first, F.lit(0)) if last is None else F.lit(last - first + 1))
+        return F.expr("repeat('/*', 0)") if last is not None and last < first else F.repeat(F.lit("/*"), F.size(F.filter(there, lambda x: x != "")))
+
+    grown = grown.withColumn("template", F.concat("template", wild(depth + 1, max(depth, p.levels))))
+    grown = grown.withColumn("head", F.col("template") if depth < p.levels else F.col("head")).withColumn("template", F.concat("template", wild(max(depth, p.levels) + 1, None)))
     tail = F.regexp_replace(F.substring("template", F.length("head") + 1, F.length("template")), r"(/\*)+$", "/**")
     return grown.withColumn("template", F.concat("head", tail)).drop("head")
 
@@ -98,7 +119,9 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     total = found.agg(F.sum("n_lab").alias("all_lab"), F.sum("n_bad").alias("all_bad"))
     prior = F.coalesce((F.col("all_lab") - F.col("all_bad")) / F.nullif("all_lab", F.lit(0)), F.lit(1.0))
     purity = (F.col("n_lab") - F.col("n_bad") + p.smoothing * prior) / (F.col("n_lab") + p.smoothing)
-    judged = by_template.join(F.broadcast(total)).select("host", "template", F.when(purity < p.min_purity, "block").otherwise("allow").alias("own"))  # `total` is one row
+    error = F.sqrt(prior * (1 - prior) / (F.col("n_lab") + p.smoothing))
+    bad = (purity < p.min_purity) | (prior - purity >= p.deviations * error) & (purity < prior)
+    judged = by_template.join(F.broadcast(total)).select("host", "template", F.when(bad, "block").otherwise("allow").alias("own"))  # `total` is one row
     map_ = checkpoint(found.select("host", "shape", "template", "n").join(judged, ["host", "template"]))
     n_pages = map_.agg(F.sum("n")).first()[0] or 0
     is_hot = F.col("n") * _HOT > n_pages
@@ -115,20 +138,20 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, labels)
 
 
-def _oracle(p: TemplateParams = TemplateParams(), rules: list[tuple[str, str, str]] = RULES, min_percent: int = 2) -> str:
-    """For hosts of paths of up to `levels` segments and sections of at least `min_percent` of their siblings' pages."""
+def _oracle(p: TemplateParams = TemplateParams(), rules: list[tuple[str, str, str]] = RULES) -> str:
+    """For tables whose paths have up to `levels` segments; a longer one is an error here, not another answer."""
     cases = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
     fits = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{s}')" for h, s, _ in cases]
     rule = "case " + " ".join(f"when {f} then '{h}{s}'" for f, (h, s, _) in zip(fits, cases)) + " end"
     verdict = "case " + " ".join(f"when {f} then '{k}'" for f, (_, _, k) in zip(fits, cases)) + " end"
-    segs = ", ".join(f"regexp_replace(split_part(path, '/', {k + 1}), '[0-9]+', '{{n}}', 'g')" for k in range(1, p.levels + 1))
     sql = f"""
 with cut as (
   select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') as host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path,
     try_cast(nullif(regexp_extract(url, '://[^/?#]*/[a-z][a-z]/([0-9]+)', 1), '') as bigint) as k
   from pages),
-shaped as (select *, concat_ws('/', '', {segs}, case when split_part(path, '/', {p.levels + 2}) <> '' then '+' else '' end) as shape from cut),
+shaped as (select *, case when length(path) - length(replace(path, '/', '')) > {p.levels} then error('path with more than {p.levels} slashes')
+    else regexp_replace(path, '[0-9]+', '{{n}}', 'g') end as shape from cut),
 lab as (select doc_id, bool_or(quality = 0 or toxic = 1) as bad from labels group by doc_id),
 g0 as (select host, shape, count(*) as n, count(bad) as n_lab, count(case when bad then 1 end) as n_bad, '' as template
   from shaped left join lab on k = doc_id group by host, shape)"""
@@ -136,8 +159,8 @@ g0 as (select host, shape, count(*) as n, count(bad) as n_lab, count(case when b
         sql += f""",
 s{k} as (select *, split_part(shape, '/', {k + 1}) as seg from g{k - 1}),
 c{k} as (select host, template, seg, sum(n) as n, sum(n_lab) as n_lab, sum(n_bad) as n_bad from s{k} where seg <> '' group by all),
-o{k} as (select host, template, seg from (select *, sum(n) over w as an, sum(n_lab) over w as al, sum(n_bad) over w as ab from c{k} window w as (partition by host, template))
-  where n >= {p.min_pages} and 100 * n >= {min_percent} * an and n_lab > 0 and al - n_lab > 0
+o{k} as (select host, template, seg from (select *, sum(n_lab) over w as al, sum(n_bad) over w as ab from c{k} window w as (partition by host, template))
+  where n >= {p.min_pages} and n_lab > 0 and al - n_lab > 0
     and (n_bad::double / nullif(n_lab, 0) - (ab - n_bad)::double / nullif(al - n_lab, 0)) ** 2
       > {p.chi_square} * (ab::double / nullif(al, 0)) * (1 - ab::double / nullif(al, 0)) * (1.0::double / nullif(n_lab, 0) + 1.0::double / nullif(al - n_lab, 0))),
 g{k} as (select s.host, s.shape, s.n, s.n_lab, s.n_bad,
@@ -146,10 +169,10 @@ g{k} as (select s.host, s.shape, s.n, s.n_lab, s.n_bad,
     return (
         sql
         + f""",
-g as (select host, shape, n_lab, n_bad, template || case when split_part(shape, '/', {p.levels + 2}) = '' then '' else '/**' end as template from g{p.levels}),
-t as (select sum(n_lab) as al, sum(n_bad) as ab from g),
-j as (select host, template, case when (sum(n_lab) - sum(n_bad) + {p.smoothing} * coalesce((any_value(al) - any_value(ab))::double / nullif(any_value(al), 0), 1.0)) / (sum(n_lab) + {p.smoothing}) < {p.min_purity} then 'block' else 'allow' end as own
-  from g, t group by host, template)
+g as (select host, shape, n_lab, n_bad, template from g{p.levels}),
+t as (select coalesce((sum(n_lab) - sum(n_bad))::double / nullif(sum(n_lab), 0), 1.0) as prior from g),
+b as (select host, template, sum(n_lab) as n_lab, any_value(prior) as prior, (sum(n_lab) - sum(n_bad) + {p.smoothing} * any_value(prior)) / (sum(n_lab) + {p.smoothing}) as purity from g, t group by host, template),
+j as (select host, template, case when purity < {p.min_purity} or prior - purity >= {p.deviations} * sqrt(prior * (1 - prior) / (n_lab + {p.smoothing})) and purity < prior then 'block' else 'allow' end as own from b)
 select page_id, host, path, {rule} as rule, coalesce({verdict}, own) as verdict, template
 from shaped join g using (host, shape) join j using (host, template)"""
     )
