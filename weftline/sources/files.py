@@ -62,9 +62,13 @@ def read_feature_rows(spark: SparkSession, path: str, lead: int = 2) -> DataFram
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of (gzipped) crawl-index files with their file and place: file, line_no, value. A file that ends
-    in mid-air gives the lines before its end."""
+    """Lines of (gzipped) crawl-index files with their file and place: file, line_no (from 0), value. A file that ends
+    in mid-air gives the lines before its end. A file may be read in several splits, in any order: lines are numbered within a
+    split and the splits of a file before it are added up."""
     rows = spark.read.option("ignoreCorruptFiles", "true").text(path)
-    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("value"), F.monotonically_increasing_id().alias("_m"))
-    low = rows.groupBy("file").agg(F.min("_m").alias("_low"))
-    return rows.join(low, "file").select("file", (F.col("_m") - F.col("_low")).alias("line_no"), "value")
+    start = F.col("_metadata.file_block_start")
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), start.alias("_start"), "value", F.monotonically_increasing_id().alias("_m"))
+    splits = rows.groupBy("file", "_start").agg(F.min("_m").alias("_low"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    placed = splits.select("file", "_start", "_low", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(placed, ["file", "_start"]).select("file", (F.col("_m") - F.col("_low") + F.col("_before")).alias("line_no"), "value")
