@@ -40,9 +40,10 @@ def path(url: Column) -> Column:
 
 
 def suffix(name: Column, long_suffixes: list[str] = LONG_SUFFIXES) -> Column:
-    out = F.element_at(F.split(name, r"\."), -1)
-    for s in long_suffixes:
-        out = F.when(name.endswith(f".{s}"), F.lit(s)).otherwise(out)
+    out = F.substring_index(name, ".", -1)
+    for labels in sorted({s.count(".") + 1 for s in long_suffixes}):
+        end = F.substring_index(name, ".", -labels)
+        out = F.when(end.isin([s for s in long_suffixes if s.count(".") + 1 == labels]) & (end != name), end).otherwise(out)
     return out
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import STOP_WORDS, tokens
 
+from weftline.plans.lineage import checkpoint
+
 from .dom import tree_distance
 
 _STOP = sorted({w for ws in STOP_WORDS.values() for w in ws})
@@ -124,3 +125,55 @@ def classify_blocks(model, features: DataFrame) -> DataFrame:
     return model.transform(rows).select("page_id", "j", "node_id", vector_to_array("probability")[1].alias("score"))
 
 
+#: Weights of a block's neighbours, two before to two behind, for smoothing (a Gaussian of deviation 1).
+_SMOOTHING = [np.exp(-(k * k) / 2) for k in range(-2, 3)]
+
+
+def smoothed_ratios(found: DataFrame) -> DataFrame:
+    """page_id, j, ratio (ln of one plus characters by the tags since the block before), smooth (Gaussian mean over five
+    blocks) and slope (how far the mean of the next three smoothed ratios is from its own)."""
+    w = Window.partitionBy("page_id").orderBy("j")  # a page's blocks
+    before = F.lag("path").over(w)
+    tags = F.when(before.isNull(), F.size("path")).otherwise(tree_distance(F.col("path"), before))
+    rows = found.select("page_id", "j", F.ln(1 + F.length("text") / F.greatest(tags, F.lit(1))).alias("ratio"))
+    near = [(F.lag("ratio", -k).over(w) if k < 0 else F.lead("ratio", k).over(w), weight) for k, weight in zip(range(-2, 3), _SMOOTHING)]
+    total = sum((F.coalesce(c * weight, F.lit(0.0)) for c, weight in near), F.lit(0.0))
+    weights = sum((F.when(c.isNotNull(), weight).otherwise(0.0) for c, weight in near), F.lit(0.0))
+    rows = rows.withColumn("smooth", total / weights)
+    ahead = F.avg("smooth").over(w.rowsBetween(1, 3))
+    return rows.withColumn("slope", F.abs(F.coalesce(ahead, F.col("smooth")) - F.col("smooth")))
+
+
+def kmeans(rows: DataFrame, columns: list[str], centres: list[list[float]], rounds: int = 10) -> list[list[float]]:
+    """Centres after `rounds` steps of Lloyd's; the first stays where it is. Each step sums up the rows by their centre; only
+    the sums reach the driver."""
+    centres = [list(c) for c in centres]
+    for _ in range(rounds):
+        own = rows.select(nearest_centre([F.col(c) for c in columns], centres).alias("c"), *columns)
+        moved = False
+        for r in own.groupBy("c").agg(*[F.avg(c).alias(c) for c in columns]).collect():
+            if r["c"]:
+                new = [r[c] for c in columns]
+                moved |= new != centres[r["c"]]
+                centres[r["c"]] = new
+        if not moved:
+            break
+    return centres
+
+
+def nearest_centre(values: list[Column], centres: list[list[float]]) -> Column:
+    """The number of the nearest centre, of equals the first."""
+    far = F.array(*[sum(((v - c) * (v - c) for v, c in zip(values, centre)), F.lit(0.0)) for centre in centres])
+    return (F.array_position(far, F.array_min(far)) - 1).cast("int")
+
+
+def with_clusters(found: DataFrame, features: DataFrame) -> DataFrame:
+    """The features with three more numbers (ratio, smooth, slope) and a one-hot of three clusters of (smooth, slope), whose
+    first has the origin as its centre: blocks of short texts between many tags."""
+    rows = checkpoint(smoothed_ratios(found))
+    start = rows.agg(*[F.percentile_approx(c, q, 10_000).alias(f"{c}{k}") for c in ("smooth", "slope") for k, q in ((1, 0.5), (2, 0.95))]).first()
+    centres = [[0.0, 0.0], *([start[f"smooth{k}"] or 0.0, start[f"slope{k}"] or 0.0] for k in (1, 2))]
+    centres = kmeans(rows, ["smooth", "slope"], centres)
+    own = nearest_centre([F.col("smooth"), F.col("slope")], centres)
+    more = F.concat(F.array("ratio", "smooth", "slope"), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(k == own, 1.0).otherwise(0.0)))
+    return features.join(rows.select("page_id", "j", more.alias("_more")), ["page_id", "j"]).withColumn("f", F.concat("f", "_more")).drop("_more")

@@ -7,13 +7,13 @@ ancestors and subtrees need no recursion.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import spread
+from weftline.plans.lineage import checkpoint, spread
 
 from . import markup
 
@@ -24,12 +24,14 @@ SCHEMAS = {
     "edges": "page_id long, src int, dst int, type_id int",
     "texts": "page_id long, text_id int, node_id int, boundary boolean, raw string",
     "tokens": "page_id long, pos int, token string, owners array<int>",
+    "layout": "page_id long, pos int, last int, node_id int, parent_id int, depth int, tag string, owner string, attrs map<string,string>, text string, apart boolean",
 }
 _ARROW = {
     "nodes": pa.schema([("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("sib_idx", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("path", pa.list_(pa.int32())), ("subtree_end", pa.int32())]),
     "edges": pa.schema([("page_id", pa.int64()), ("src", pa.int32()), ("dst", pa.int32()), ("type_id", pa.int32())]),
     "texts": pa.schema([("page_id", pa.int64()), ("text_id", pa.int32()), ("node_id", pa.int32()), ("boundary", pa.bool_()), ("raw", pa.string())]),
     "tokens": pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("token", pa.string()), ("owners", pa.list_(pa.int32()))]),
+    "layout": pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("last", pa.int32()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("owner", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("apart", pa.bool_())]),
 }
 
 
@@ -57,18 +59,38 @@ def _token_rows(page, root):
         yield page, k, word, owners
 
 
-_MAKERS = {"nodes": _node_rows, "edges": _edge_rows, "texts": _text_rows, "tokens": _token_rows}
+def _layout_rows(page, root):
+    """Elements and texts by their place in the document; an element also has the last place below it, a text whether it
+    follows another text of its parent at once."""
+    rows, open_, before = [], [], None
+    for pos, x in enumerate(root.walk()):
+        while open_ and open_[-1][0] is not x.parent:
+            rows[open_.pop()[1]][2] = pos - 1
+        parent = x.parent.number if x.parent.number >= 0 else None
+        if isinstance(x, markup.Element):
+            rows.append([page, pos, pos, x.number, parent, x.depth, x.tag, x.parent.tag, list(x.attrs.items()), None, False])
+            open_.append((x, pos))
+        else:
+            apart = isinstance(before, markup.Text) and before.parent is x.parent
+            rows.append([page, pos, pos, None, parent, x.parent.depth + 1, None, x.parent.tag, None, x.text, apart])
+        before = x
+    for _, pos in open_:
+        rows[pos][2] = len(rows) - 1
+    return rows
 
 
-def dom_table(pages: DataFrame, want: str, drop: frozenset[str] = markup.DROPPED, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
-    """The table `want` (nodes, edges, texts or tokens) of all pages."""
+_MAKERS = {"nodes": _node_rows, "edges": _edge_rows, "texts": _text_rows, "tokens": _token_rows, "layout": _layout_rows}
+
+
+def dom_table(pages: DataFrame, want: str, drop: frozenset[str] = markup.DROPPED, id_column: str = "page_id", html_column: str = "html", tree: Callable = markup.parse) -> DataFrame:
+    """The table `want` (nodes, edges, texts, tokens or layout) of all pages; `tree` makes a page's tree from (html, drop)."""
     make, schema = _MAKERS[want], _ARROW[want]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.extend(make(page, markup.parse(html.as_py(), drop)))
+                held.extend(make(page, tree(html.as_py(), drop)))
                 while len(held) >= _ROWS:
                     part, held = held[:_ROWS], held[_ROWS:]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
@@ -78,6 +100,37 @@ def dom_table(pages: DataFrame, want: str, drop: frozenset[str] = markup.DROPPED
     return spread(pages.select(F.col(id_column).cast("long"), html_column)).mapInArrow(run, SCHEMAS[want])
 
 
+def dom_tables(pages: DataFrame, *want: str, drop: frozenset[str] = markup.DROPPED, id_column: str = "page_id", html_column: str = "html", tree: Callable = markup.parse) -> list[DataFrame]:
+    """Several tables of all pages by one parse a page: the kernel gives rows tagged by table, a struct column each, which are
+    written to the shared folder once; each table is a filter on them."""
+    names = [f"{w}_row" for w in want]
+    fields = [pa.field("kind", pa.string())] + [pa.field(n, pa.struct(list(_ARROW[w]))) for n, w in zip(names, want)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {w: [] for w in want}
+
+        def emit(w: str) -> pa.RecordBatch:
+            rows, held[w] = held[w], []
+            own = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW[w])], fields=list(_ARROW[w]))
+            columns = [own if x == w else pa.nulls(len(rows), f.type) for x, f in zip(want, fields[1:])]
+            return pa.RecordBatch.from_arrays([pa.array([w] * len(rows)), *columns], schema=pa.schema(fields))
+
+        for batch in batches:
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                root = tree(html.as_py(), drop)
+                for w in want:
+                    held[w].extend(_MAKERS[w](page, root))
+                    if len(held[w]) >= _ROWS:
+                        yield emit(w)
+        for w in want:
+            if held[w]:
+                yield emit(w)
+
+    schema = ", ".join(["kind string", *(f"{n} struct<{SCHEMAS[w].replace(' ', ':').replace(',:', ', ')}>" for n, w in zip(names, want))])
+    rows = checkpoint(spread(pages.select(F.col(id_column).cast("long"), html_column)).mapInArrow(run, schema))
+    return [rows.where(F.col("kind") == w).select(f"{n}.*") for n, w in zip(names, want)]
+
+
 def edges_of(nodes: DataFrame) -> DataFrame:
     """Edges from a table of nodes: type 0 to the parent, type 1 to the child."""
     child = nodes.where("parent_id is not null").select("page_id", "node_id", "parent_id")

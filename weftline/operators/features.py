@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,9 +11,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions import css
 from weftline.functions.text import tokens
-from weftline.plans.lineage import checkpoint
+from weftline.plans.lineage import checkpoint, spread
 
 from . import dom, graph, markup
+from .cascade import Sheet, computed_styles, inline_css
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ def lengths(p: FeatureParams) -> dict[str, int]:
 def node_features(pages: DataFrame, p: FeatureParams = FeatureParams(), properties: DataFrame | None = None) -> DataFrame:
     """page_id, node_id, features (in the order of `lengths`). With computed properties (page_id, node_id,
     properties map) fonts come from them, else from inline styles and tags."""
-    nodes = checkpoint(dom.dom_table(pages, "nodes"))  # several branches read it: parse once
+    nodes, texts = dom.dom_tables(pages, "nodes", "texts")  # several branches read them: parse once
     key = ["page_id", "node_id"]
     style = css.style_map(F.try_element_at("attrs", F.lit("style")))
     words, own_id = graph.visual_words(F.col("attrs"))
@@ -47,7 +47,7 @@ def node_features(pages: DataFrame, p: FeatureParams = FeatureParams(), properti
         rows = rows.join(properties, key, "left")
         size, weight, slant = computed_font(F.col("properties"))
     rows = checkpoint(rows.withColumns({"f_size": css.font_size(size), "f_weight": css.font_weight(weight), "f_style": css.font_style(slant)}))
-    text = checkpoint(dom.own_text(dom.dom_table(pages, "texts")))
+    text = checkpoint(dom.own_text(texts))
     text_vec = graph.hash_embeddings(text, key, tokens(F.col("text")), p.text_dim).withColumnRenamed("vec", "text_vec")
     class_vec = graph.hash_embeddings(rows, key, tokens(F.col("class_text")), p.class_dim).withColumnRenamed("vec", "class_vec")
     id_vec = graph.hash_embeddings(rows, key, tokens(F.col("id_text")), p.class_dim).withColumnRenamed("vec", "id_vec")
@@ -70,41 +70,6 @@ def computed_font(properties: Column) -> tuple[Column, Column, Column]:
     return get("font-size", "medium"), get("font-weight", "normal"), get("font-style", "normal")
 
 
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SELECTOR = re.compile(r"^([a-zA-Z][a-zA-Z0-9]*|\*)?((?:[.#][\w-]+)*)$")
-
-
-def _matches(e: markup.Element, tag: str, marks: list[str]) -> bool:
-    classes = set(e.attrs.get("class", "").split())
-    return (not tag or tag == "*" or tag.lower() == e.tag) and all(m[1:] == e.attrs.get("id") if m[0] == "#" else m[1:] in classes for m in marks)
-
-
-def inline_css(html: str | None, drop: frozenset[str] = markup.DROPPED) -> markup.Element:
-    """The page's tree with rules of its <style> elements written into style attributes.
-
-    Selectors of a tag, classes and ids are applied, the more specific and the later ones last, and inline
-    declarations over all; other selectors, at-rules and linked sheets are passed over. Nothing is fetched.
-    """
-    root = markup.parse(html, drop)
-    found = markup.elements(root)
-    sheet = "\n".join(x.text for e in found if e.tag == "style" for x in e.children if isinstance(x, markup.Text))
-    sheet = re.sub(r"(?s)/\*.*?\*/", "", sheet)
-    rules = []
-    for selectors, body in _RULE.findall(sheet):
-        for s in selectors.split(","):
-            if m := _SELECTOR.match(s.strip()):
-                marks = re.findall(r"[.#][\w-]+", m[2])
-                weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), bool(m[1]) and m[1] != "*")
-                if s.strip():
-                    rules.append((weight, len(rules), m[1] or "", marks, body.strip().rstrip(";")))
-    for e in found:
-        applied = [body for _, _, tag, marks, body in sorted(rules, key=lambda r: r[:2]) if body and _matches(e, tag, marks)]
-        if applied:
-            own = e.attrs.get("style", "").strip()
-            e.attrs["style"] = "; ".join([*applied, own] if own else applied)
-    return root
-
-
 def inlined_styles(pages: DataFrame) -> DataFrame:
     """page_id, node_id, style of every node that has one after inlining."""
 
@@ -114,3 +79,20 @@ def inlined_styles(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, [pa.int64(), pa.int32(), pa.string()])], ["page_id", "node_id", "style"])
 
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, node_id int, style string")
+
+
+def cascaded_styles(pages: DataFrame, sheet: str = "") -> DataFrame:
+    """page_id, node_id, property, value of every element after the cascade of `sheet`, the page's own style sheets and its
+    inline styles, with what it inherits."""
+    from . import cascade
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                root = markup.parse(html.as_py())
+                found = computed_styles(root, Sheet(f"{sheet}\n{cascade.sheet_text(markup.elements(root))}"))
+                rows = [(page, k, name, value) for k, styles in found.items() for name, value in styles.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.string(), pa.string()])], ["page_id", "node_id", "property", "value"])
+
+    return spread(pages.select("page_id", "html")).mapInArrow(run, "page_id long, node_id int, property string, value string")

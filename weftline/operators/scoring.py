@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,22 +157,69 @@ def class_confusion(df: DataFrame, scores: str, truth: str, top_k: int | None =
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """query_id, key, score (cosine, to six places), rank: the k nearest other rows of each query, of equals the lowest
-    key. Queries are broadcast in blocks of about `block` rows; each task keeps its own k best before they meet."""
+    key (a whole number). Queries are broadcast in blocks of about `block` rows; a task multiplies its rows with a block as
+    matrices and keeps the block's k best, so that k rows a query leave it. Vectors that are null, have a null or another length
+    than the block's first have no neighbours and are none; the cosine beside a zero vector is 0."""
     from pyspark.sql import Window
 
-    from weftline.functions.vectors import cosine
-
-    given = checkpoint(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")))
+    wide = lambda df, name: df.select(F.col(key).cast("long").alias(name), F.transform(vector, lambda x: x.cast("double")).alias("_v")).where(F.col(name).isNotNull() & F.col("_v").isNotNull() & ~F.exists("_v", lambda x: x.isNull()))
+    given = checkpoint(wide(queries, "query_id"))
     n_blocks = max(1, -(-given.count() // block))
-    score = F.round(cosine(F.col("_q"), F.col(vector)), 6)
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     out = None
     for b in range(n_blocks):
-        some = given.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        scored = rows.join(F.broadcast(some), F.col(key) != F.col("query_id")).select("query_id", key, score.alias("score"))  # a block of stated queries against all rows
-        best = scored.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+        some = given.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).toArrow()  # about `block` stated queries
+        best = wide(rows, key).mapInArrow(_best_of_block(rows.sparkSession.sparkContext.broadcast(some), k), f"query_id long, {key} long, score double")
         out = best if out is None else out.unionByName(best)
-    return out
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return out.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    size = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+
+
+def _best_of_block(held, k: int, rows_at_once: int = 1024):
+    """A task's k best rows of each query of a broadcast block (query_id, _v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        if not len(table):
+            return
+        size = pc.list_value_length(table["_v"])
+        table = table.filter(pc.equal(size, size[0]))
+        ids = table["query_id"].to_numpy()
+        asked = _unit(table["_v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1))
+        places: dict[int, list[int]] = {}
+        for place, i in enumerate(ids.tolist()):
+            places.setdefault(i, []).append(place)
+        best_of, best_key, best_score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(len(ids), -np.inf)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(lo, rows_at_once)
+                batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), asked.shape[1]))
+                if not batch.num_rows or not asked.shape[1]:
+                    continue
+                keys = batch.column(0).to_numpy()
+                score = asked @ _unit(batch.column(1).flatten().to_numpy().reshape(len(keys), -1)).T
+                score = np.floor(score * 1e6 + 0.5) / 1e6 + 0.0
+                for place, i in enumerate(keys.tolist()):
+                    if i in places:
+                        score[places[i], place] = -np.inf
+                bound = least if len(keys) <= k else np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+                of, at = np.nonzero((score >= bound[:, None]) & (score > -np.inf))
+                best_of, best_key, best_score = np.concatenate((best_of, of)), np.concatenate((best_key, keys[at])), np.concatenate((best_score, score[of, at]))
+                order = np.lexsort((best_key, -best_score, best_of))
+                best_of, best_key, best_score = best_of[order], best_key[order], best_score[order]
+                rank = np.arange(len(best_of)) - np.searchsorted(best_of, best_of)
+                last = rank == k - 1
+                least[best_of[last]] = best_score[last]
+                best_of, best_key, best_score = best_of[rank < k], best_key[rank < k], best_score[rank < k]
+        if len(best_of):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best_of]), pa.array(best_key), pa.array(best_score)], ["query_id", "key", "score"])
+
+    return run
 
 
 def common_folds(left: DataFrame, right: DataFrame, fold: str) -> DataFrame:

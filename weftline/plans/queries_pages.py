@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text, urls
 from weftline.operators import crawl, dom, extract, graph
 
+from . import page_sql
 from .registry import query, table
 
 #: Tags of the counting queries; any list may be given to the operator.
@@ -60,18 +61,18 @@ def dom_subtree_tags(spark, sf_dir):
     return per_tag.join(known, ["page_id", "tag"]).join(totals.select("page_id", "one"), "page_id").select("page_id", "tag", F.col("n").alias("n_in_tree"), "is_known")
 
 
-@query()
+@query(page_sql.NODES)
 def dom_nodes(spark, sf_dir):
     position = dom.child_position(32)
     return _nodes(spark, sf_dir).select("page_id", "node_id", "parent_id", "depth", "tag", F.array_position(position, 1.0).alias("slot"), "subtree_end")
 
 
-@query()
+@query(page_sql.OWN_TEXT)
 def dom_texts(spark, sf_dir):
     return dom.own_text(dom.dom_table(table(spark, sf_dir, "pages"), "texts"))
 
 
-@query()
+@query(page_sql.TOKENS)
 def dom_tokens(spark, sf_dir):
     return dom.dom_table(table(spark, sf_dir, "pages"), "tokens")
 
@@ -81,7 +82,7 @@ def dom_strict_positions(spark, sf_dir):
     return dom.first_equal_sibling(_nodes(spark, sf_dir))
 
 
-@query()
+@query(page_sql.TWO_HOPS)
 def dom_within_two_hops(spark, sf_dir):
     return dom.within_hops(_nodes(spark, sf_dir), 2).groupBy("page_id", "distance").agg(F.count("*").alias("n_pairs"))
 
@@ -226,7 +227,15 @@ def html_content_gate(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", (F.length(html) > urls.CrawlRules().min_content).alias("is_long"), (F.instr(html, "</html>") > 0).alias("is_closed"), text.looks_like_html(html).alias("is_html"))
 
 
-@query()
+_WORDS = "list_filter(string_split_regex(coalesce(body, ''), '" + text.SPACE_CLASS + "+'), lambda w: w <> '')"
+_STOPS = ", ".join(f"('{code}', '{w}')" for code, words in sorted(text.STOP_WORDS.items()) for w in words)
+
+
+@query(f"""with b as (select page_id, regexp_extract(html, 'lang="([a-z]+)"', 1) as declared, {page_sql.STRIP} as body from pages),
+w as (select page_id, regexp_replace(lower(unnest({_WORDS})), '[.,;:!?]+$', '') as word from b),
+s(lang, word) as (values {_STOPS}), n as (select page_id, lang, count(*) as n from w join s using (word) group by all),
+g as (select page_id, lang from (select *, row_number() over (partition by page_id order by n desc, lang) as r from n) where r = 1)
+select page_id, declared, g.lang as guessed from b left join g using (page_id)""")
 def html_language(spark, sf_dir):
     html = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("declared"), text.guess_language(text.strip_markup(F.col("html"))).alias("guessed"))
     return html

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from weftline.functions import text
 from weftline.operators import blocks, crawl, dom, extract, features, graph, models, nn, scoring
 
+from . import page_sql
 from .lineage import checkpoint
 from .registry import query, table
 
 _SP = text.SPACE_CLASS + "+"
 _KEY = "try_cast(nullif(regexp_extract(url, '^https?://[^/]+/[a-z][a-z]/([0-9]+)', 1), '') as bigint)"
-_STRIP = """replace(replace(replace(replace(replace(
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'),
-      '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&')"""
+_STRIP = page_sql.STRIP
 _BOTH = f"""
 with g as (select page_id, {_KEY} as doc_id, {_STRIP} as pred from pages),
 b as (select page_id, pred, text as gold from g join documents using (doc_id))"""
@@ -80,7 +79,7 @@ def text_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query()
+@query("select doc_id, len(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?！？。]+[.!?！？。]*'), lambda x: trim(x)), lambda x: x <> ''))::int as n_sentences from documents")
 def text_sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"))
 
@@ -134,10 +133,9 @@ def lcs_macro_scores(spark, sf_dir):
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pages = table(spark, sf_dir, "pages")
     gold = _pages_and_gold(spark, sf_dir).select("page_id", F.col("gold").alias("text"))
-    nodes = dom.dom_table(pages, "nodes")
-    return nodes, checkpoint(scoring.label_nodes(nodes, dom.dom_table(pages, "tokens"), gold))
+    nodes, tokens = dom.dom_tables(table(spark, sf_dir, "pages"), "nodes", "tokens")
+    return nodes, checkpoint(scoring.label_nodes(nodes, tokens, gold))
 
 
 @query()
@@ -161,8 +159,7 @@ def graph_text(spark, sf_dir):
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return blocks.blocks(dom.dom_table(pages, "nodes"), dom.dom_table(pages, "texts"))
+    return blocks.blocks(*dom.dom_tables(table(spark, sf_dir, "pages"), "nodes", "texts"))
 
 
 @query()
@@ -285,7 +282,8 @@ def node_features(spark, sf_dir):
     return found.select("page_id", "node_id", F.size("features").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.array_max("features"), 5).alias("largest"))
 
 
-@query()
+@query(f"""{page_sql.TREE}, s as (select page_id, regexp_extract(html, '<style>p\\{{(.*?)\\}}</style>', 1) as style from pages)
+select page_id, node_id::int as node_id, style from nodes join s using (page_id) where tag = 'p' and style <> ''""")
 def inlined_styles(spark, sf_dir):
     return features.inlined_styles(table(spark, sf_dir, "pages"))
 
@@ -310,22 +308,22 @@ def leaf_classifier(spark, sf_dir):
     return _rounded(scoring.accuracy(scored.withColumn("prediction", F.col("prediction").cast("int")), "prediction", "label"), "accuracy", "precision", "recall", "f1")
 
 
-@query("""with s as (select vec_id, label, list_transform(embedding[1:4], lambda x: x::double) as v from embeddings),
-c as (select vec_id, label, unnest(range(4)) as i, unnest(v) as x from s),
-r as (select *, row_number() over (partition by vec_id order by x desc, i) <= 2 as yes, i = label % 4 as real from c),
+@query("""with s as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
+c as (select vec_id, label, unnest(range(len(v))) as i, unnest(v) as x from s),
+r as (select *, row_number() over (partition by vec_id order by x desc, i) <= 2 as yes, i = label % 64 as real from c),
 n as (select count(*) filter (where yes and real) as tp, count(*) filter (where yes and not real) as fp, count(*) filter (where not yes and real) as fn from r)
-select tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2.0::double * tp / (2 * tp + fp + fn), 6) as f1 from n""")
+select tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from n""")
 def topk_class_f1(spark, sf_dir):
-    """Of class scores (the first four places of a vector), the two best count as predicted."""
-    rows = table(spark, sf_dir, "embeddings").select(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("scores"), (F.col("label") % 4).alias("truth"))
+    """Of class scores (all places of a vector), the two best count as predicted."""
+    rows = table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("scores"), (F.col("label") % 64).alias("truth"))
     return _rounded(scoring.class_confusion(rows, "scores", "truth", top_k=2), "precision", "recall", "f1")
 
 
-@query("""with c as (select label % 4 = 1 as real, embedding[2]::double > 0.1 as yes from embeddings),
+@query("""with c as (select label % 64 = i as real, embedding[i + 1]::double > 0.1 as yes, i from embeddings, range(64) t(i) where i = 1),
 n as (select count(*) filter (where yes and real) as tp, count(*) filter (where yes and not real) as fp, count(*) filter (where not yes and real) as fn from c)
 select tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from n""")
 def one_class_f1(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("scores"), (F.col("label") % 4).alias("truth"))
+    rows = table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("scores"), (F.col("label") % 64).alias("truth"))
     return _rounded(scoring.class_confusion(rows, "scores", "truth", class_id=1, threshold=0.1), "precision", "recall", "f1")
 
 

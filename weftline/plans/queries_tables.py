@@ -1,5 +1,6 @@
 """Queries over rows and arrays: splits and batches, vectors, weights and losses, styles."""
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftline.functions import css, vectors
@@ -229,36 +230,59 @@ def hash_embeddings(spark, sf_dir):
     return found.select("item_id", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round("v", 6))
 
 
-_SIZES = ["12px", "1.5em", "150%", "10pt", "2pc", "1in", "7", "medium", "", "abc", "0.5rem", "-3px", "1e1px"]
+_UNITS = ["px", "em", "%", "pt", "pc", "in", "", "rem", "q", "abc"]
+#: Sizes in every unit, some with a fraction, a sign or a name, made of the parts' sizes.
+_SIZE_SQL = f"""
+with s as (select p_partkey, case when p_partkey % 11 = 10 then 'medium' else case when p_partkey % 13 = 5 then '-' else '' end || p_size::varchar || case when p_partkey % 3 = 0 then '.5' else '' end || {_UNITS}[p_partkey % 10 + 1] end as s from part),
+p as (select p_partkey, s, try_cast(nullif(regexp_extract(s, '^([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', 1), '') as double) as v, regexp_replace(s, '^([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', '') as u from s),
+k as (select p_partkey, s, case when v is null then 3 when u = '%' then 0 when u in ('em', 'rem') then 2 when u in ('px', 'in', 'pt', 'pc', '') then 1 else 3 end as kind,
+  case when v is null then 0 when u = '%' then v / 100 when u = 'in' then v * 96 when u = 'pt' then v * 96 / 72 when u = 'pc' then v * 12 * 96 / 72 when u in ('em', 'rem', 'px', '') then v else 0 end as val from p)"""
 
 
-@query("""with s(s) as (values ('12px'), ('1.5em'), ('150%'), ('10pt'), ('2pc'), ('1in'), ('7'), ('medium'), (''), ('abc'), ('0.5rem'), ('-3px'), ('1e1px')),
-p as (select s, try_cast(nullif(regexp_extract(s, '^([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', 1), '') as double) as v, regexp_replace(s, '^([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', '') as u from s)
-select s as size, case when v is null then 3 when u = '%' then 0 when u in ('em', 'rem') then 2 when u in ('px', 'in', 'pt', 'pc', '') then 1 else 3 end as kind,
-  round(case when v is null then 0 when u = '%' then v / 100 when u = 'in' then v * 96 when u = 'pt' then v * 96 / 72 when u = 'pc' then v * 12 * 96 / 72 when u in ('em', 'rem', 'px', '') then v else 0 end, 6) as val from p""")
+def _sizes(spark, sf_dir):
+    key = F.col("p_partkey")
+    made = F.concat(F.when(key % 13 == 5, "-").otherwise(""), F.col("p_size").cast("string"), F.when(key % 3 == 0, ".5").otherwise(""), F.element_at(F.array(*map(F.lit, _UNITS)), (key % 10 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(key % 11 == 10, "medium").otherwise(made).alias("size"))
+
+
+@query(f"{_SIZE_SQL} select p_partkey, s as size, kind, round(val, 6) + 0.0::double as val from k")
 def css_sizes(spark, sf_dir):
-    rows = spark.createDataFrame([(s,) for s in _SIZES], "size string")
     kind, value = css.size_kind(F.col("size"))
-    return rows.select("size", kind.alias("kind"), F.round(value, 6).alias("val"))
+    return _sizes(spark, sf_dir).select("p_partkey", "size", kind.alias("kind"), F.round(value, 6).alias("val"))
 
 
-@query("""with s(size, slot) as (values ('12px', 'small'), ('1.5em', 'larger'), ('150%', 'larger'), ('10pt', 'small'), ('2pc', 'xx-large'), ('1in', 'xx-large'), ('7', 'xx-small'), ('medium', 'medium'),
-  ('', 'inherit'), ('abc', 'inherit'), ('0.5rem', 'smaller'), ('-3px', 'xx-small'), ('1e1px', 'x-small'))
-select size, slot, list_position(['medium', 'xx-small', 'x-small', 'small', 'large', 'x-large', 'xx-large', 'smaller', 'larger', 'inherit'], slot)::bigint as place from s""")
+@query(f"""{_SIZE_SQL}, f as (select *, case when s = 'medium' then s when kind = 3 then 'inherit'
+    when kind = 1 then case when val <= 9 then 'xx-small' when val <= 11 then 'x-small' when val <= 14 then 'small' when val <= 17 then 'medium' when val <= 22 then 'large' when val <= 30 then 'x-large' else 'xx-large' end
+    when val >= 1.01 then 'larger' when val <= 0.99 then 'smaller' else 'inherit' end as slot from k)
+select p_partkey, s as size, slot, list_position(['medium', 'xx-small', 'x-small', 'small', 'large', 'x-large', 'xx-large', 'smaller', 'larger', 'inherit'], slot)::bigint as place from f""")
 def css_font_sizes(spark, sf_dir):
-    rows = spark.createDataFrame([(s,) for s in _SIZES], "size string")
-    return rows.select("size", css.font_size_slot(F.col("size")).alias("slot"), F.array_position(css.font_size(F.col("size")), 1.0).alias("place"))
+    return _sizes(spark, sf_dir).select("p_partkey", "size", css.font_size_slot(F.col("size")).alias("slot"), F.array_position(css.font_size(F.col("size")), 1.0).alias("place"))
 
 
-_COLOURS = ["red", "teal", "#ff8000", "rgb(0, 128, 255)", "rgba(255, 0, 0, 0.5)", "hsl(120, 100%, 50%)", "hsla(240, 100%, 25%, 0.25)", "rgb(1,2,3)", "nocolour", "#12", ""]
+_NAMES = ", ".join(f"('{name}', {r}, {g}, {b})" for name, (r, g, b) in css.COLOURS.items())
 
 
-@query("""select colour, r::int as r, g::int as g, b::int as b, alpha::double as alpha from (values ('red', 255, 0, 0, 0.0), ('teal', 0, 128, 128, 0.0), ('#ff8000', 255, 128, 0, 0.0), ('rgb(0, 128, 255)', 0, 128, 255, 0.0), ('rgba(255, 0, 0, 0.5)', 255, 0, 0, 0.5),
-  ('hsl(120, 100%, 50%)', 0, 255, 0, 0.0), ('hsla(240, 100%, 25%, 0.25)', 0, 0, 128, 0.25), ('rgb(1,2,3)', 0, 0, 0, 0.0), ('nocolour', 0, 0, 0, 0.0), ('#12', 0, 0, 0, 0.0), ('', 0, 0, 0, 0.0)) t(colour, r, g, b, alpha)""")
+@query(f"""with n(name, r, g, b) as (values {_NAMES}), l as (select list(name) as names from n),
+p as (select p_partkey, p_partkey % 7 as kind, p_partkey * 7 % 256 as r, p_partkey * 13 % 256 as g, p_partkey * 29 % 256 as b, p_size, p_name, names[p_partkey % 16 + 1] as name from part, l),
+c as (select p.p_partkey, kind, case kind when 0 then '#' || printf('%02x%02x%02x', p.r, p.g, p.b) when 1 then 'rgb(' || p.r || ', ' || p.g || ', ' || p.b || ')' when 2 then 'rgba(' || p.r || ', ' || p.g || ', ' || p.b || ', 0.25)'
+    when 3 then p.name when 4 then 'rgb(' || p.r || ',' || p.g || ')' when 5 then p_name else 'hsl(0, 0%, ' || p_size || '%)' end as colour,
+  case when kind < 3 then [p.r, p.g, p.b] when kind = 3 then [n.r, n.g, n.b] when kind < 6 then [0, 0, 0] else list_value(g1, g1, g1) end as v, case when kind = 2 then 0.25::double else 0.0::double end as alpha
+  from (select *, round_even(p_size::double / 100 * 255, 0)::bigint as g1 from p) p left join n using (name))
+select p_partkey, colour, v[1]::int as r, v[2]::int as g, v[3]::int as b, alpha from c""")
 def css_colours(spark, sf_dir):
-    rows = spark.createDataFrame([(c,) for c in _COLOURS], "colour string").withColumn("c", css.colour(F.col("colour")))
+    """Colours of every notation, made of the parts' numbers; two notations are malformed."""
+    key = F.col("p_partkey")
+    r, g, b = (key * m % 256 for m in (7, 13, 29))
+    texts = lambda *x: F.concat(*[v if isinstance(v, Column) else F.lit(v) for v in x])
+    t = lambda v: v.cast("string")
+    made = [
+        texts("#", F.format_string("%02x%02x%02x", r, g, b)), texts("rgb(", t(r), ", ", t(g), ", ", t(b), ")"), texts("rgba(", t(r), ", ", t(g), ", ", t(b), ", 0.25)"),
+        F.element_at(F.array(*map(F.lit, css.COLOURS)), (key % 16 + 1).cast("int")), texts("rgb(", t(r), ",", t(g), ")"), F.col("p_name"), texts("hsl(0, 0%, ", t(F.col("p_size")), "%)"),
+    ]
+    colour = F.element_at(F.array(*made), (key % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", colour.alias("colour")).withColumn("c", css.colour(F.col("colour")))
     channel = lambda k: F.round(F.element_at("c", k) * 255).cast("int")
-    return rows.select("colour", channel(1).alias("r"), channel(2).alias("g"), channel(3).alias("b"), F.element_at("c", 4).alias("alpha"))
+    return rows.select("p_partkey", "colour", channel(1).alias("r"), channel(2).alias("g"), channel(3).alias("b"), F.element_at("c", 4).alias("alpha"))
 
 
 @query("""select doc_id, lang, unnest(range(5))::int as slot, case when unnest(['de', 'en', 'es', 'fr', 'other']) = lang then 1.0::double else 0.0 end as hot from documents""")
