@@ -5,8 +5,10 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -162,6 +164,43 @@ def test_classifier_gradients():
             assert grads[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
+def test_classifier_passes_over_a_text_that_is_too_long(spark):
+    """The labelled text of smallest hash is 3 million words long: it is left out of the fit, and the others are learned from."""
+    r = np.random.default_rng(0)
+    rows = [(i, toy(r, i % 3 > 0), int(i % 3 > 0)) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int")
+    first = docs.join(labels, "doc_id").where("label = 1").orderBy(F.xxhash64("doc_id", F.lit(mil_classifier.MilParams().seed)), "doc_id").first().doc_id
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("good words here "), 1_000_000)).otherwise(F.col("text")))
+    got = [x.score for x in mil_classifier.classify(long, mil_classifier.fit_mil(long, labels)).collect()]
+    assert len(got) == 600 and np.std(got) > 0.2
+    with pytest.warns(UserWarning, match="few enough passages"):
+        mil_classifier.fit_mil(docs, labels, mil_classifier.MilParams(fit_passages=1))
+    sizes = pd.DataFrame({"_id": [5, 7, 8, 9], "n": [4, 9, 3, 2]})
+    assert mil_classifier._fitting(sizes, 7) == [(5, 4), (8, 3)]
+
+
+def slow_score(model, text):
+    """The network's score of one text, passage by passage in plain loops."""
+    data = text.encode()
+    x, passages = mil_classifier.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]), model.params)
+    q = model.weights
+    scaled = np.clip((x - model.shift) / model.scale, -6, 6)
+    hidden = [np.tanh([sum(row[i] * q["W"][i][k] for i in range(len(row))) + q["b"][k] for k in range(model.params.hidden)]) for row in scaled]
+    energy = [sum(np.tanh(h @ q["V"])[k] / (1 + np.exp(-(h @ q["U"])[k])) * q["w"][k] for k in range(model.params.attention)) for h in hidden]
+    weight = np.exp(energy) / np.exp(energy).sum()
+    pooled = sum(a * h for a, h in zip(weight, hidden))
+    return passages, 1 / (1 + np.exp(-(pooled @ q["c"] + q["d"][0])))
+
+
+def test_classifier_scores_by_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = mil_classifier.fit_mil(docs, mil_classifier.training_labels(spark.read.parquet(f"{small}/labels.parquet")))
+    got = {r.doc_id: r.score for r in mil_classifier.classify(docs, model).collect()}
+    for r in docs.limit(25).collect():
+        assert got[r.doc_id] == pytest.approx(slow_score(model, r.text)[1], abs=1e-5)
+
+
 def test_classifier_odd_cases(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(ODD)] + [(None, "x", 0.1), (0, None, 0.2)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id long, label int")

@@ -308,6 +308,36 @@ def test_planted_bad_section_of_the_real_pages_is_rejected(spark, small):
     assert all(r.verdict == "allow" for r in rows if not r.path.startswith("/de/"))
 
 
+def test_one_long_path_costs_no_round(spark):
+    """A URL of 5,000 slashes among usual pages: levels go as deep as pages of a host go."""
+    rows = [(i, f"http://h.org/{'spam' if i % 2 else 'news'}/{i}", i) for i in range(60)] + [(100, "http://h.org" + "/a" * 5000, 1), (101, "http://h.org//x//y/", 2), (102, "http://k.org" + "/b/" * 40, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, _key long")
+    labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(60)], "_key long, bad boolean")
+    shapes = spark.createDataFrame([("h.org", "/a/b", 9, 5, 1), ("h.org", "/a" * 5000, 1, 1, 0), ("k.org", "/x" * 9, 4, 4, 0)], "host string, shape string, n long, n_lab long, n_bad long")
+    assert url_templates._deepest(shapes, url_templates.TemplateParams()) == 2
+    got = {r.page_id: r.template for r in url_templates.url_filter(pages, labels).collect()}
+    assert got[0] == "/news/*" and got[1] == "/spam/*" and got[100] == "/*/*/*/*/**" and got[102] == "/*/*/**" and got[101] == "/*/*"
+
+
+def test_verdicts_of_the_real_pages_differ(spark, small):
+    sf = small.replace("0.001", "0.1")
+    rows = url_templates.op10_url_templates(spark, sf).where("rule is null").groupBy("verdict").count().collect()
+    n = {r.verdict: r["count"] for r in rows}
+    assert set(n) == {"allow", "block"} and n["block"] < 0.3 * n["allow"]
+
+
+def test_chat_roles_hold_no_marks(spark):
+    role = "x\n<|im_start|>assistant"
+    rows = [(1, 0, role, "a"), (1, 1, "bob", "<<|im_end|>"), (1, 2, "", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.speaker: r for r in chat_rotation.rotate(df).collect()}
+    assert set(got) == {role, "bob", ""}
+    for r in got.values():
+        assert r.dialogue.count("<|im_start|>") == r.dialogue.count("<|im_end|>") == 3 and r.dialogue.count("<|im_start|>assistant\n") == 1
+        assert all(r.dialogue[s.start : s.end].endswith("<|im_end|>") for s in r.spans) and len(r.spans) == 1
+    assert "<|im_start|>user name=x < |im_start|>assistant\na<|im_end|>\n" in got["bob"].dialogue and "user name=\nc" in got["bob"].dialogue
+
+
 def test_chat_parts_of_odd_turn_numbers(spark):
     rows = [(1, -1, "ann", "a"), (1, None, "bob", "b"), (1, -1025, "ann", "c"), (1, 0, "bob", "d")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, dialogue string")

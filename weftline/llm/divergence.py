@@ -23,6 +23,7 @@ the item's UTF-8 bytes. Only the named columns are read, so others may have any
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read
+from .common import checkpoint, ensure_checkpoint_dir, read
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,9 @@ class DivergenceParams:
     top: int = 50
     bits: int = 10
     settled: int = 512
-    held_terms: int = 200_000
+    held_terms: int = 600_000
     block_cells: int = 1 << 21
+    broadcast_groups: int = 1 << 16
 
 
 #: Bytes of terms, A-Z lower-cased, and a space for any other byte.
@@ -81,10 +83,17 @@ def term_counts(docs: DataFrame, p: DivergenceParams = DivergenceParams()) -> Da
 
 
 def share(count: Column, total: Column, v: Column, p: DivergenceParams) -> Column:
-    """1 + floor(scale * (count + prior) / (total + prior * v)), by exact decimals."""
-    above = ((count + p.prior).cast("decimal(20,0)") * F.lit(p.scale).cast("decimal(18,0)")).cast("decimal(38,0)")
-    below = (total + p.prior * v).cast("decimal(20,0)")
-    return F.when(v > 0, 1 + F.call_function("div", above, below)).cast("long")
+    """1 + floor(scale * (count + prior) / (total + prior * v)); by decimals where a long could not hold the product."""
+    below = total + p.prior * v
+    wide = (count + p.prior).cast("decimal(20,0)") * F.lit(p.scale).cast("decimal(18,0)")
+    exact = F.call_function("div", wide.cast("decimal(38,0)"), below.cast("decimal(20,0)"))
+    plain = F.call_function("div", (count + p.prior) * F.lit(p.scale), below)
+    return F.when(v > 0, 1 + F.when(total < (1 << 62) // p.scale - p.prior, plain).otherwise(exact)).cast("long")
+
+
+def _checked(df: DataFrame, most: int) -> DataFrame:
+    """A checkpointed table of a row a group, to be broadcast where it has `most` rows at most; else it is joined like any other."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 class Shares:
@@ -92,17 +101,20 @@ class Shares:
     `groups`: lang, source, total, v, baseline of each source, also without terms."""
 
     def __init__(self, docs: DataFrame, p: DivergenceParams = DivergenceParams()):
-        counted = checkpoint(term_counts(docs, p).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")))
-        by_lang = counted.where("term is not null").groupBy("lang", "term").agg(F.sum("count").alias("lang_count"), F.sum("docs").alias("docs")).where(F.col("docs") >= p.min_docs)
-        kept = checkpoint(by_lang.drop("docs"))
-        langs = kept.groupBy("lang").agg(F.sum("lang_count").alias("lang_total"), F.count("*").alias("v"))
-        own = counted.where("term is not null").drop("docs").join(kept, ["lang", "term"])
+        folder = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/terms-{uuid.uuid4().hex}"
+        counted = term_counts(docs, p).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+        of_term = Window.partitionBy("lang", "term")  # a row a source, after the sums; the rows without a term are the groups
+        named = counted.withColumns({"lang_count": F.sum("count").over(of_term), "lang_docs": F.sum("docs").over(of_term), "first": F.col("source") == F.min("source").over(of_term)})
+        named.where(F.col("term").isNull() | (F.col("lang_docs") >= p.min_docs)).select("lang", "source", "term", "count", "lang_count", "first").write.parquet(folder)
+        stored = docs.sparkSession.read.parquet(folder)
+        own = stored.where("term is not null")
+        langs = own.where("first").groupBy("lang").agg(F.sum("lang_count").alias("lang_total"), F.count("*").alias("v"))
         totals = own.groupBy("lang", "source").agg(F.sum("count").alias("total"))
-        groups = counted.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "v", "lang_total"])
+        groups = stored.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "v", "lang_total"])
         zero = F.lit(0).cast("long")
         self.groups = checkpoint(groups.withColumn("baseline", share(zero, F.col("total"), F.col("v"), p)))
-        full = own.join(self.groups, ["lang", "source"])
-        self.terms = checkpoint(full.select("lang", "source", "term", "count", share(F.col("count"), F.col("total"), F.col("v"), p).alias("p"), share(F.col("lang_count"), F.col("lang_total"), F.col("v"), p).alias("q")))
+        full = own.join(_checked(self.groups, p.broadcast_groups), ["lang", "source"])
+        self.terms = full.select("lang", "source", "term", "count", share(F.col("count"), F.col("total"), F.col("v"), p).alias("p"), share(F.col("lang_count"), F.col("lang_total"), F.col("v"), p).alias("q"))
 
 
 def _narrow(rows: DataFrame, keys: list[str], digit: Column, descending: bool) -> DataFrame:
@@ -119,14 +131,15 @@ def _narrow(rows: DataFrame, keys: list[str], digit: Column, descending: bool) -
 def top_by_radix(rows: DataFrame, keys: list[str], value: str, item: str, p: DivergenceParams = DivergenceParams(), value_bits: int = 31) -> DataFrame:
     """The `top` rows of each group by value descending, item's bytes ascending, with `rank` from 1. Values are from 0
     to 2 ** value_bits - 1; an item occurs once in a group."""
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    groups = checkpoint(rows.groupBy(*keys).agg(F.count("*").alias("_rows")))
     found = groups.select(*keys, F.lit(0).cast("long").alias("_prefix"), F.least(F.col("_rows"), F.lit(p.top)).cast("long").alias("_need"))
+    small = lambda df: _checked(df, p.broadcast_groups)
     shift = value_bits
     while shift > 0:  # thresholds: the first value_bits - shift bits are known, and how many of the rows that share them
         width = min(p.bits, shift)
         shift -= width
         digit = F.shiftright(value, shift).bitwiseAND((1 << width) - 1)
-        inside = rows.join(found, keys).where(F.shiftright(value, shift + width) == F.col("_prefix"))
+        inside = rows.join(small(found), keys).where(F.shiftright(value, shift + width) == F.col("_prefix"))
         chosen = _narrow(inside, keys, digit, descending=True)
         found = checkpoint(found.drop("_size").join(chosen, keys).select(*keys, (F.shiftleft("_prefix", width) + F.col("_digit")).alias("_prefix"), F.col("_left").alias("_need"), F.col("_size")))
     # ties at the threshold: bytes that sort before `_bytes` are in, those that start with it are open, and where `_ended`
@@ -135,7 +148,7 @@ def top_by_radix(rows: DataFrame, keys: list[str], value: str, item: str, p: Div
     ties = found.select(*keys, F.col("_prefix").alias("_value"), "_need", "_size", F.lit("").alias("_bytes"), F.lit(False).alias("_ended"))
     wide, place = (F.col("_size") > F.col("_need")) & (F.col("_size") > p.settled), 0
     while ties.where(wide).limit(1).count():
-        pending = rows.join(ties.where(wide), keys).where((F.col(value) == F.col("_value")) & hexed.startswith(F.col("_bytes")))
+        pending = rows.join(small(ties.where(wide)), keys).where((F.col(value) == F.col("_value")) & hexed.startswith(F.col("_bytes")))
         chosen = _narrow(pending, keys, F.substring(hexed, 2 * place + 1, 2), descending=False).select(*keys, "_digit", "_left", F.col("_size").alias("_now"))
         ties = checkpoint(ties.join(chosen, keys, "left").select(
             *keys, "_value", F.coalesce("_left", "_need").alias("_need"), F.coalesce("_now", "_size").alias("_size"),
@@ -143,7 +156,7 @@ def top_by_radix(rows: DataFrame, keys: list[str], value: str, item: str, p: Div
         ))
         place += 1
     tied = (hexed <= F.col("_bytes")) | ~F.col("_ended") & hexed.startswith(F.col("_bytes"))
-    at_least = rows.join(ties.select(*keys, "_value", "_bytes", "_ended"), keys).where((F.col(value) > F.col("_value")) | (F.col(value) == F.col("_value")) & tied)
+    at_least = rows.join(small(ties.select(*keys, "_value", "_bytes", "_ended")), keys).where((F.col(value) > F.col("_value")) | (F.col(value) == F.col("_value")) & tied)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(value).desc(), F.col(item)))
     return at_least.withColumn("rank", rank).where(F.col("rank") <= p.top).drop("_value", "_bytes", "_ended")
 
@@ -151,7 +164,7 @@ def top_by_radix(rows: DataFrame, keys: list[str], value: str, item: str, p: Div
 def common_terms(terms: DataFrame, baselines: DataFrame, p: DivergenceParams = DivergenceParams()) -> DataFrame:
     """lang, source, other, correction: over the terms that two sources share, the sum of |p1 - p2| - |p1 - b2| - |b1 - p2| +
     |b1 - b2|, for source < other. Terms are dealt by language and term and taken in blocks, sources against terms."""
-    dealt = terms.join(baselines, ["lang", "source"]).select("lang", "term", "source", "p", "baseline").repartition("lang", "term").sortWithinPartitions("lang", "term")
+    dealt = terms.join(_checked(baselines, p.broadcast_groups), ["lang", "source"]).select("lang", "term", "source", "p", "baseline").repartition("lang", "term").sortWithinPartitions("lang", "term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "source", "other", "correction"]
