@@ -57,6 +57,11 @@ def test_sheet_skips_at_rules_and_comments():
     assert [(s.compounds[0].tag, b) for s, b in sheet.rules] == [("p", "color: blue"), ("b", "color: blue"), ("broken", "x: y")]
 
 
+def test_commas_within_attributes():
+    sheet = cascade.Sheet("a[t='x,y'], b , [q] { c: d }")
+    assert [(s.compounds[0].tag, s.compounds[0].attributes) for s, _ in sheet.rules] == [("a", (("t", "=", "x,y"),)), ("b", ()), ("", (("q", "", ""),))]
+
+
 def test_cascade_order_and_inheritance():
     css = "p { color: red; margin: 1px; font-size: 2em } .c { color: blue } #i { color: green } p { color: black } div p { color: gray !important } b { color: inherit; margin: inherit; font-size: initial }"
     root = markup.parse("<div style='text-align: right; padding: 3px'><p class=c id=i style='color: white; margin: 2px'>x<b>y</b></p></div><p class=c>z</p><p style='color: tan'>w</p>")

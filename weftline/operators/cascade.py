@@ -145,7 +145,7 @@ class Sheet:
         self.rules: list[tuple[Selector, str]] = []
         self.by_key: dict[tuple[str, str], list[int]] = {}
         for head, body in _blocks(_COMMENT.sub("", text)):
-            for one in head.split(","):
+            for one in re.findall(r"(?:[^,\[\]]|\[[^\]]*\]|[\[\]])+", head):  # at commas outside attributes
                 selector = parse_selector(one)
                 if selector is not None and body.strip():
                     last = selector.compounds[-1]
