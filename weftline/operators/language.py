@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import checkpoint
+from weftline.plans.lineage import checkpoint, spread
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,7 @@ def guess(texts: DataFrame, profile: Profile, key: str, text_column: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(guessed, pa.string()), pa.array(best, pa.int64()), pa.array(known, pa.int64())], [key, "guessed", "score", "n_known"])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, F.col(text_column).cast("string")).mapInArrow(run, f"`{key}` {kind}, guessed string, score long, n_known long")
+    return spread(texts.select(key, F.col(text_column).cast("string"))).mapInArrow(run, f"`{key}` {kind}, guessed string, score long, n_known long")
 
 
 def in_languages(texts: DataFrame, profile: Profile, wanted: list[str], key: str, text: Column) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import checkpoint
+from weftline.plans.lineage import checkpoint, spread
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,8 @@ _TOKEN = re.compile(r"\S+")
 #: End marks that need no white space behind them, and closing marks that stay with their sentence (fixed values).
 _WIDE = "。！？"
 _CLOSING = "\"'”’»)]}"
+_MARKS = frozenset(f".!?{_WIDE}")
+_WIDE_END = re.compile(rf"[{_WIDE}]+[{re.escape(_CLOSING)}]*")
 _END = re.compile(rf"[.!?{_WIDE}]+[{re.escape(_CLOSING)}]*\Z")
 _STRIP = "\"'“”‘’«»()[]{},;:"
 _NUMBER = re.compile(r"\A[-+]?\d[\d.,]*\Z")
@@ -87,8 +89,10 @@ def split(text: str | None, learned: Learned) -> list[str]:
     text, out, start = text or "", [], 0
     tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
     for k, (lo, hi, word) in enumerate(tokens):
+        if _MARKS.isdisjoint(word):
+            continue
         at = lo
-        for m in re.finditer(f"[{_WIDE}]+[{re.escape(_CLOSING)}]*", word):  # also within a run without white space
+        for m in _WIDE_END.finditer(word):  # also within a run without white space
             if lo + m.end() < hi:
                 out.append(text[start : lo + m.end()].strip())
                 start = at = lo + m.end()
@@ -140,7 +144,7 @@ def type_counts(texts: DataFrame, p: SentenceParams = SentenceParams(), text_col
                     yield from emit()
         yield from emit()
 
-    return texts.select(F.col(text_column).cast("string")).mapInArrow(run, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return spread(texts.select(F.col(text_column).cast("string"))).mapInArrow(run, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -206,11 +210,13 @@ def sentence_table(texts: DataFrame, learned: Learned, key: str, text_column: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            row, place, found = [], [], []
             for i, cell in enumerate(batch.column(1)):
-                found = split(cell.as_py(), held.value)
-                if found:
-                    ids = batch.column(0).slice(i, 1).take(pa.array([0] * len(found)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], [key, "place", "sentence"])
+                own = split(cell.as_py(), held.value)
+                row += [i] * len(own)
+                place += range(len(own))
+                found += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(place, pa.int32()), pa.array(found, pa.string())], [key, "place", "sentence"])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, F.col(text_column).cast("string")).mapInArrow(run, f"`{key}` {kind}, place int, sentence string")
+    return spread(texts.select(key, F.col(text_column).cast("string"))).mapInArrow(run, f"`{key}` {kind}, place int, sentence string")
