@@ -2,10 +2,12 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from weftline.operators import sentences as s
-from weftline.plans import queries_more
+from weftline.plans import queries_more, queries_scores
+from weftline.plans.catalogue import ORACLE_SQL
 
 
 def corpus():
@@ -94,3 +96,12 @@ def test_query(spark, small):
     join = lambda c: F.regexp_replace(c, r"\s+", "")
     whole = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]), " ").alias("t"))
     assert docs.join(whole, "doc_id").where(F.regexp_replace(join("text"), r"[\x{85}\x{a0}\x1c-\x1f]", "") != F.regexp_replace(join("t"), r"[\x{85}\x{a0}\x1c-\x1f]", "")).count() == 0
+
+
+def test_text_sentences_with_digits_and_blanks_at_the_end(spark, tmp_path):
+    texts = ["a. ", "0. 1. 2. 3", "x. " * 3 + "3", " . . ", "a. ", "　", "a.\n", "。b", "...", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_sentences for r in queries_scores.text_sentences(spark, str(tmp_path)).collect()}
+    sql = ORACLE_SQL["text_sentences"].replace("from documents", f"from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(duckdb.sql(sql).fetchall())
+    assert [got[i] for i in range(4)] == [1, 4, 4, 2]

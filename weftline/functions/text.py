@@ -55,10 +55,14 @@ def join_strings(strings: Column, boundaries: Column) -> Column:
     return F.array_join(F.zip_with(strings, boundaries, lambda s, b: F.concat(F.when(b, "\n").otherwise(""), F.trim(s))), "")
 
 
+#: Unicode's space separators, which are what the SQL's trim() takes off.
+_SPACES = "".join(map(chr, [0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
+
+
 def sentences(text: Column) -> Column:
-    """Sentences by end marks, those of Chinese and Japanese among them."""
+    """Sentences by end marks, those of Chinese and Japanese among them, without spaces around them."""
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?！？。]+[.!?！？。]*"), F.lit(0))
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s, F.lit(_SPACES))), lambda s: s != "")
 
 
 def strip_markup(html: Column) -> Column:
