@@ -169,3 +169,20 @@ def test_group_hash_and_visual(spark):
     words, own = graph.visual_words(F.col("attrs"))
     _, strict = graph.visual_words(F.col("attrs"), True)
     assert tuple(row.select(words, own, strict).first()) == ("x y", "ab", "a b")
+
+
+def test_layers_hold_few_pages_at_once(spark):
+    import pyarrow as pa
+
+    from weftline.operators import nn
+    from weftline.plans.lineage import few_rows
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150))], ["x"])
+    assert [b.num_rows for b in few_rows(iter([batch, batch.slice(0, 0)]))] == [64, 64, 22]
+    n_pages = 200
+    nodes = spark.createDataFrame([(p, i, [float(p), float(i)]) for p in range(n_pages) for i in range(p % 3 + 1)], "page_id long, node_id int, x array<double>")
+    links = [(p, a, b, k) for p in range(n_pages) for a, b, k in ((0, 1, 0), (1, 0, 1), (2, 0, 0), (0, 9, 1))]
+    edges = spark.createDataFrame(links, "page_id long, src int, dst int, type_id int")
+    got = {(r.page_id, r.node_id): r.y for r in nn.run_per_page(nodes.coalesce(1), edges, lambda x, e: np.array([[len(x), *(len(q) for q in e)]] * len(x), float)).collect()}
+    n_edges = {1: [0, 0], 2: [1, 1], 3: [2, 1]}
+    assert got == {(p, i): [n, *n_edges[n]] for p in range(n_pages) for n in [p % 3 + 1] for i in range(n)}

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.lineage import few_rows
+
 Edges = list[np.ndarray]
 
 
@@ -199,22 +201,26 @@ def node_binary(x: np.ndarray, nodes: np.ndarray, weight: np.ndarray, bias: floa
 
 def run_per_page(nodes: DataFrame, edges: DataFrame, layer: Callable[[np.ndarray, Edges], np.ndarray], edge_types: int = 2) -> DataFrame:
     """Applies a layer to every page: nodes (page_id, node_id, x), edges (page_id, src, dst, type_id) to
-    page_id, node_id, y. Both sides are grouped by page in one shuffle each; a page is one row in Python."""
+    page_id, node_id, y. Both sides are grouped by page in one shuffle each; a page is one row in Python, and its nodes and
+    edges are read from Arrow's buffers, 64 pages at a time."""
     n = nodes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "x"))).alias("n"))
     e = edges.groupBy("page_id").agg(F.collect_list(F.struct("type_id", "src", "dst")).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for page, some, links in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                ids = [v["node_id"] for v in some]
-                place = {v: k for k, v in enumerate(ids)}
-                x = np.array([v["x"] for v in some], float)
-                pairs: list[list] = [[] for _ in range(edge_types)]
-                for v in links or []:
-                    if v["src"] in place and v["dst"] in place:
-                        pairs[v["type_id"]].append((place[v["src"]], place[v["dst"]]))
-                y = layer(x, [np.array(sorted(q), np.int64).reshape(-1, 2) for q in pairs])
-                yield pa.RecordBatch.from_arrays([pa.array([page] * len(ids), pa.int64()), pa.array(ids, pa.int32()), pa.array(list(y), pa.list_(pa.float64()))], ["page_id", "node_id", "y"])
+        for batch in few_rows(batches):
+            pages, ids, found = [], [], []
+            for page, some, links in zip(*(batch.column(k) for k in range(3))):
+                own = some.values.field("node_id").to_numpy()
+                x = np.array(some.values.field("x").to_pylist(), float)
+                src, dst, kind = (links.values.field(f).to_numpy() if links.is_valid else np.zeros(0, np.int32) for f in ("src", "dst", "type_id"))
+                known = np.isin(src, own) & np.isin(dst, own)
+                ends = np.stack((np.searchsorted(own, src[known]), np.searchsorted(own, dst[known])), axis=1).astype(np.int64)
+                kind, order = kind[known], np.lexsort((ends[:, 1], ends[:, 0]))
+                y = layer(x, [ends[order[kind[order] == k]] for k in range(edge_types)])
+                pages += [page.as_py()] * len(own)
+                ids.append(own)
+                found += list(y)
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(np.concatenate(ids), pa.int32()), pa.array(found, pa.list_(pa.float64()))], ["page_id", "node_id", "y"])
 
     return n.join(e, "page_id", "left").mapInArrow(run, "page_id long, node_id int, y array<double>")
 

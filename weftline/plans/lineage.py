@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,14 @@ def spread(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
     return df.repartition(cores) if cores > 1 and size < cores * least_bytes else df
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most `rows`, so that what a kernel holds as Python objects is bounded whatever the
+    size of Spark's batches, which grow with a partition up to 10,000 rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def running_sum(df: DataFrame, order: list[Column], value: Column, name: str = "before") -> DataFrame:
     """`df` with the sum of `value` over the rows before each one in a total order. Rows are range-partitioned; each
     partition sums up its own, and one sum a partition is added up in one place."""
