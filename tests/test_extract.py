@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from weftline.operators import blocks, extract, scoring
+from weftline.operators import blocks, dom, extract, scoring
 
 ARTICLE = " ".join(f"Sentence number {i} of the main text has several plain words, and a comma." for i in range(12))
 PAGE = f"<html><body><ul><li><a href=/a>Home page link</a></li><li><a href=/b>Other link</a></li></ul><div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><p><a href=/c>foot link</a></p></body></html>"
@@ -86,3 +87,15 @@ def test_scores_of_empty_sides(spark):
     counts = {r.k: (r.tp, r.fp, r.fn) for r in scoring.multiset_confusion(df, "k", "p", "g").collect()}
     assert counts == {1: (0, 0, 0), 2: (0, 0, 2), 3: (1, 2, 0)}
     assert scoring.micro(scoring.multiset_confusion(df.where("k = 1"), "k", "p", "g")).first().f1 == 0.0
+
+
+def test_pages_labelled_in_one_pass(spark, small):
+    odd = [(1, "<p>a b c<b>d</b>e f</p><p></p>top", "a b cde f"), (2, "<p>x</p>", ""), (3, None, "a"), (4, "<p>x y</p>", None), (5, "a b<i>c</i> d e f", "a bc d e f"), (None, "<p>a</p>", "a")]
+    pages = spark.createDataFrame(odd, "page_id long, html string, gold string")
+    whole = spark.read.parquet(f"{small}/pages.parquet").select((F.col("page_id") + 10).alias("page_id"), "html")
+    pages = pages.unionByName(whole.withColumn("gold", F.regexp_replace(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1), "<[^>]*>", " ")))
+    want = scoring.label_nodes(dom.dom_table(pages, "nodes"), dom.dom_table(pages, "tokens"), pages.select("page_id", F.col("gold").alias("text")))
+    got = scoring.label_pages(pages)
+    rows = lambda df: sorted(tuple(r) for r in df.select("page_id", "node_id", "n_words", "n_aligned", "label").collect())
+    assert rows(got) == rows(want) and {r.page_id for r in got.collect()} >= {1, 5}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # words are not shuffled or joined

@@ -17,7 +17,8 @@ from weftline.plans.lineage import checkpoint, spread
 
 from . import markup
 
-_ROWS = 20_000
+#: Rows that a kernel holds as Python objects, of each table.
+_ROWS = 4_096
 
 SCHEMAS = {
     "nodes": "page_id long, node_id int, parent_id int, depth int, sib_idx int, tag string, attrs map<string,string>, path array<int>, subtree_end int",

@@ -132,20 +132,18 @@ def lcs_macro_scores(spark, sf_dir):
     return _rounded(scoring.macro(scoring.alignment_scores(_extracted(spark, sf_dir, "body"), "page_id", "text", "gold")), "precision", "recall", "f1")
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    gold = _pages_and_gold(spark, sf_dir).select("page_id", F.col("gold").alias("text"))
-    nodes, tokens = dom.dom_tables(table(spark, sf_dir, "pages"), "nodes", "tokens")
-    return nodes, checkpoint(scoring.label_nodes(nodes, tokens, gold))
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.label_pages(_pages_and_gold(spark, sf_dir).select("page_id", "html", "gold"))
 
 
 @query()
 def node_labels(spark, sf_dir):
-    return _labelled(spark, sf_dir)[1]
+    return _labelled(spark, sf_dir)
 
 
 @query()
 def node_label_subgraphs(spark, sf_dir):
-    _, labels = _labelled(spark, sf_dir)
+    labels = _labelled(spark, sf_dir)
     some = labels.where("label <> 'other'").select("page_id", "node_id", "label")
     p = graph.GraphParams(max_depth=4, max_nodes=32, max_neighbours=8)
     return graph.node_subgraphs(table(spark, sf_dir, "pages"), some, p).select("page_id", "node_id", "label", F.size("nodes").alias("n_nodes"))
@@ -154,7 +152,7 @@ def node_label_subgraphs(spark, sf_dir):
 @query()
 def graph_text(spark, sf_dir):
     """Page texts from nodes labelled content, the decision step of graph-model extraction."""
-    _, labels = _labelled(spark, sf_dir)
+    labels = _labelled(spark, sf_dir)
     return extract.text_of_nodes(dom.dom_table(table(spark, sf_dir, "pages"), "texts"), labels.where("label = 'content'"))
 
 
@@ -186,7 +184,7 @@ def viterbi_decode(spark, sf_dir):
 @query()
 def block_classifier(spark, sf_dir):
     """Blocks scored by a forest that learned from node labels."""
-    _, labels = _labelled(spark, sf_dir)
+    labels = checkpoint(_labelled(spark, sf_dir))
     features = checkpoint(blocks.block_features(_blocks(spark, sf_dir)))
     truth = labels.where("label <> 'other'").select("page_id", "node_id", (F.col("label") == "content").cast("int").alias("label"))
     model = blocks.train_block_classifier(features, truth, trees=8)
@@ -301,7 +299,7 @@ def genre_folds(spark, sf_dir):
 @query()
 def leaf_classifier(spark, sf_dir):
     """Leaf texts judged content or not from hashed words and tags, learned from node labels."""
-    _, labels = _labelled(spark, sf_dir)
+    labels = checkpoint(_labelled(spark, sf_dir))
     truth = labels.where("label <> 'other'").select("page_id", "node_id", (F.col("label") == "content").cast("int").alias("label"))
     rows = checkpoint(models.leaf_features(_blocks(spark, sf_dir)).join(truth, ["page_id", "node_id"]))
     scored = models.train_logistic(rows.select("features", F.col("label").cast("double").alias("label"))).transform(rows.drop("label")).join(truth, ["page_id", "node_id"])
