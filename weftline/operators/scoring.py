@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -52,12 +53,20 @@ def set_confusion(pred: Column, gold: Column) -> dict[str, Column]:
 
 
 def multiset_confusion(df: DataFrame, key: str, pred: str, gold: str) -> DataFrame:
-    """Counts over words with their multiplicity: key, tp, fp, fn."""
-    side = lambda column, is_pred: df.select(key, F.explode(tokens(F.col(column))).alias("w"), F.lit(int(is_pred)).alias("p"), F.lit(int(not is_pred)).alias("g"))
-    counts = side(pred, True).unionAll(side(gold, False)).groupBy(key, "w").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
-    shared = F.least("p", "g")
-    found = counts.groupBy(key).agg(F.sum(shared).alias("tp"), F.sum(F.col("p") - shared).alias("fp"), F.sum(F.col("g") - shared).alias("fn"))
-    return df.select(key).join(found, key, "left").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    """Counts over words with their multiplicity: key, tp, fp, fn, one row a row of `df`, in a narrow pass: no word leaves its
+    row, so the rows of one key, if there are several, are counted apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            rows = []
+            for p, g in zip(batch.column(1), batch.column(2)):
+                a, b = Counter((p.as_py() or "").split()), Counter((g.as_py() or "").split())
+                tp = sum(min(n, b[w]) for w, n in a.items() if w in b)
+                rows.append((tp, a.total() - tp, b.total() - tp))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*rows)]], [key, "tp", "fp", "fn"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(pred).cast("string"), F.col(gold).cast("string")).mapInArrow(run, f"`{key}` {kind}, tp long, fp long, fn long")
 
 
 def micro(confusion: DataFrame) -> DataFrame:
