@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import checkpoint, spread
+from weftline.plans.lineage import checkpoint, few_rows, spread
 
 from . import markup
 
 #: Rows that a kernel holds as Python objects, of each table.
 _ROWS = 4_096
+_NEAR = 1 << 18
 
 SCHEMAS = {
     "nodes": "page_id long, node_id int, parent_id int, depth int, sib_idx int, tag string, attrs map<string,string>, path array<int>, subtree_end int",
@@ -209,16 +211,43 @@ def tree_distance(a: Column, b: Column) -> Column:
 
 
 def within_hops(nodes: DataFrame, hops: int) -> DataFrame:
-    """(page_id, node_id, near_id, distance) of nodes at most `hops` edges apart, by `hops` joins with edges;
-    the rows are those of neighbourhoods, never all pairs of a page."""
-    edges = edges_of(nodes).select("page_id", "src", "dst").distinct()
-    reached = nodes.select("page_id", "node_id", F.col("node_id").alias("near_id"), F.lit(0).alias("distance"))
-    out = reached
-    for k in range(1, hops + 1):
-        step = reached.join(edges, (reached.page_id == edges.page_id) & (reached.near_id == edges.src)).select(reached.page_id, "node_id", F.col("dst").alias("near_id")).distinct()
-        reached = step.join(out.select("page_id", "node_id", "near_id"), ["page_id", "node_id", "near_id"], "left_anti").withColumn("distance", F.lit(k))
-        out = out.unionByName(reached)
-    return out
+    """(page_id, node_id, near_id, distance) of nodes at most `hops` edges apart; the rows are those of neighbourhoods, never
+    all pairs of a page. A page's nodes meet in one shuffle, and its neighbourhoods are found in place, for so many nodes at
+    once that a step has at most `_NEAR` rows, or those of one node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            for page, some in zip(batch.column(0), batch.column(1)):
+                child, parent = some.values.field("node_id"), some.values.field("parent_id")
+                own = child.to_numpy()
+                linked = parent.is_valid().to_numpy(zero_copy_only=False) & page.is_valid
+                up, low = parent.fill_null(-1).to_numpy()[linked], own[linked]
+                ids, places = np.unique(np.concatenate((own, up)), return_inverse=True)
+                n, starts = len(ids), np.unique(places[: len(own)])
+                ends = np.unique(np.concatenate((places[: len(own)][linked] * n + places[len(own) :], places[len(own) :] * n + places[: len(own)][linked])))
+                src, dst = ends // n, ends % n
+                first = np.searchsorted(src, np.arange(n + 1))
+                yield _near(page, own, own, 0)
+                step = max(1, _NEAR // max(len(ends), 1))
+                for lo in range(0, len(starts), step):
+                    of = at = starts[lo : lo + step]
+                    seen = of * n + at
+                    for k in range(1, hops + 1):
+                        size = first[at + 1] - first[at]
+                        to = dst[np.arange(size.sum()) + np.repeat(first[at] - (np.cumsum(size) - size), size)]
+                        new = np.unique(np.repeat(of, size) * n + to)
+                        new = new[~np.isin(new, seen)]
+                        seen, of, at = np.concatenate((seen, new)), new // n, new % n
+                        yield _near(page, ids[of], ids[at], k)
+
+    pages = nodes.groupBy("page_id").agg(F.collect_list(F.struct("node_id", "parent_id")).alias("n"))
+    return pages.mapInArrow(run, "page_id long, node_id int, near_id int, distance int")
+
+
+def _near(page: pa.Scalar, of: np.ndarray, at: np.ndarray, distance: int) -> pa.RecordBatch:
+    n = len(of)
+    columns = [pa.array([page.as_py()] * n, pa.int64()), pa.array(of, pa.int32()), pa.array(at, pa.int32()), pa.array(np.full(n, distance), pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["page_id", "node_id", "near_id", "distance"])
 
 
 def register_udtf(spark) -> None:
