@@ -99,3 +99,53 @@ def test_pages_labelled_in_one_pass(spark, small):
     rows = lambda df: sorted(tuple(r) for r in df.select("page_id", "node_id", "n_words", "n_aligned", "label").collect())
     assert rows(got) == rows(want) and {r.page_id for r in got.collect()} >= {1, 5}
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # words are not shuffled or joined
+
+
+def test_density_holds_no_copies_of_what_is_below():
+    deep = "<body>" + "<p>some words of a paragraph that is never closed" * 400
+    density = extract.Density(extract.body_of(deep), variant=True)
+    assert isinstance(density.content, str) and len(density.content) == density.chars[0] < 30_000
+    text = "a <b>bc</b> <i></i> d"
+    density = extract.Density(extract.body_of(text))
+    assert [density.content[lo:hi] for lo, hi in density.span] == ["a bc d", "bc", ""] and density.chars == [6, 2, 0]
+
+
+def test_multiset_counts_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "a a b c", "a b b d"), (None, "x", "x"), (2, " ", "　y ")], "k long, p string, g string")
+    found = scoring.multiset_confusion(df, "k", "p", "g")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: (r.tp, r.fp, r.fn) for r in found.collect()} == {1: (2, 2, 2), None: (1, 0, 0), 2: (0, 0, 1)}
+
+
+def test_near_nodes_by_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(dom, "_NEAR", 7)
+    rows = [(1, 0, None), (1, 1, 0), (1, 2, 0), (1, 3, 2), (1, 4, 3), (2, 0, None), (3, 5, 4), (None, 0, None), (None, 1, 0)]
+    nodes = spark.createDataFrame(rows, "page_id long, node_id int, parent_id int")
+    found = dom.within_hops(nodes, 2)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    links = {1: {0: [1, 2], 1: [0], 2: [0, 3], 3: [2, 4], 4: [3]}, 2: {0: []}, 3: {5: [4], 4: [5]}}
+    want = set()
+    for page, node, _ in rows:
+        level, seen = {node}, {node}
+        for k in range(3):
+            want |= {(page, node, x, k) for x in level}
+            level = {y for x in level for y in links.get(page, {}).get(x, [])} - seen
+            seen |= level
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_decoding_without_a_frame_a_page(spark):
+    rows = [(p, j, [0.0, float((p * 7 + j * 5) % 4)], [0.5, -0.5, -0.5, 0.5] if j < 4 else None) for p in range(80) for j in range(5)]
+    found = blocks.decode(spark.createDataFrame(rows, "page_id long, j int, unary array<double>, edge array<double>"))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in sorted(found.collect()):
+        got.setdefault(r.page_id, []).append(r.label)
+    assert got == {p: blocks.viterbi(np.array([r[2] for r in rows if r[0] == p]), [r[3] for r in rows if r[0] == p][:-1]) for p in range(80)}
+
+
+def test_columns_come_along_with_extracted_texts(spark):
+    pages = spark.createDataFrame([(i, f"<p>page {i}</p>", f"gold {i}") for i in range(130)], "page_id long, html string, gold string")
+    found = extract.extract(pages, "body", keep=("gold",)).collect()
+    assert len(found) == 130 and all(r.text == f"page {r.page_id}" and r.gold == f"gold {r.page_id}" for r in found)

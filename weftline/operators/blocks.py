@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import STOP_WORDS, tokens
 
-from weftline.plans.lineage import checkpoint
+from weftline.plans.lineage import checkpoint, few_rows
 
 from .dom import tree_distance
 
@@ -81,12 +83,16 @@ def viterbi(unary: np.ndarray, edge: np.ndarray, weight: float = 1.0) -> list[in
 def decode(scores: DataFrame, weight: float = 1.0) -> DataFrame:
     """scores (page_id, j, unary array of 2, edge array of 4 to the next block, null at the end) to labels."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("j")
-        labels = viterbi(np.stack(pdf.unary.to_numpy()), [e for e in pdf.edge.iloc[:-1]], weight)
-        return pd.DataFrame({"page_id": pdf.page_id, "j": pdf.j, "label": labels})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            rows = []
+            for page, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                labels = viterbi(np.array([x["unary"] for x in found], float), [x["edge"] for x in found[:-1]], weight)
+                rows += [(page, x["j"], label) for x, label in zip(found, labels)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int32()])], ["page_id", "j", "label"])
 
-    return scores.groupBy("page_id").applyInPandas(run, "page_id long, j int, label int")
+    pages = scores.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("j", "unary", "edge"))).alias("x"))
+    return pages.mapInArrow(run, "page_id long, j int, label int")
 
 
 def label_string(labels: DataFrame) -> DataFrame:
