@@ -55,3 +55,17 @@ def test_cli(spark, small, tmp_path):
     cli.main(["url_parts", small, "--out", f"{tmp_path}/o"])
     assert spark.read.parquet(f"{tmp_path}/o").count() == 50
     assert cli.parse(["url_parts", small]).show == 20
+
+
+def test_hash_vector_is_the_embedding_of_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions.text import tokens
+    from weftline.operators import graph
+
+    texts = ["a b a c", "", None, "one", " ".join(f"w{i % 37}" for i in range(500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    want = {r.k: r.vec for r in graph.hash_embeddings(df, ["k"], tokens(F.col("t")), 16).collect()}
+    got = df.select("k", graph.hash_vector(tokens(F.col("t")), 16).alias("vec"))
+    assert {r.k: r.vec for r in got.collect()} == want
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

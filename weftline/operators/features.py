@@ -47,12 +47,10 @@ def node_features(pages: DataFrame, p: FeatureParams = FeatureParams(), properti
         rows = rows.join(properties, key, "left")
         size, weight, slant = computed_font(F.col("properties"))
     rows = checkpoint(rows.withColumns({"f_size": css.font_size(size), "f_weight": css.font_weight(weight), "f_style": css.font_style(slant)}))
-    text = checkpoint(dom.own_text(texts))
-    text_vec = graph.hash_embeddings(text, key, tokens(F.col("text")), p.text_dim).withColumnRenamed("vec", "text_vec")
-    class_vec = graph.hash_embeddings(rows, key, tokens(F.col("class_text")), p.class_dim).withColumnRenamed("vec", "class_vec")
-    id_vec = graph.hash_embeddings(rows, key, tokens(F.col("id_text")), p.class_dim).withColumnRenamed("vec", "id_vec")
-    rows = rows.join(text.select(*key, F.length("text").cast("double").alias("text_length")), key, "left")
-    for part in (text_vec, class_vec, id_vec, dom.child_counts(nodes), graph.laplacian_positions(pages, p.eigenvectors)):
+    vector = lambda c, dim: graph.hash_vector(tokens(F.col(c)), dim)
+    text = dom.own_text(texts).select(*key, F.length("text").cast("double").alias("text_length"), vector("text", p.text_dim).alias("text_vec"))
+    rows = rows.withColumns({"class_vec": vector("class_text", p.class_dim), "id_vec": vector("id_text", p.class_dim)})
+    for part in (text, dom.child_counts(nodes), graph.laplacian_positions(pages, p.eigenvectors)):
         rows = rows.join(part, key, "left")
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
     parts = [F.col("f_size"), F.col("f_weight"), F.col("f_style"), F.coalesce("text_vec", zeros(p.text_dim)), F.array(F.coalesce("text_length", F.lit(0.0)))]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import spread
+from weftline.plans.lineage import few_rows, spread
 
 from . import markup
 from .sampling import hash_int, hash_share
@@ -329,7 +329,9 @@ def lexrank(sentences: list[list[str]], threshold: float = 0.1, rounds: int = 60
         packed.append(np.packbits(near.T, axis=1))  # a bit a pair
     bits = np.concatenate(packed)
     blocks = [(lo, min(lo + 512, n)) for lo in range(0, n, 512)]
-    links = lambda lo, hi: np.unpackbits(bits[lo:hi], axis=1, count=n).astype(float)
+    unpacked = lambda lo, hi: np.unpackbits(bits[lo:hi], axis=1, count=n).astype(float)
+    held = unpacked(0, n) if n <= 512 else None  # one block: unpacked once for all rounds
+    links = unpacked if held is None else lambda lo, hi: held
     degree = np.concatenate([links(lo, hi).sum(axis=1) for lo, hi in blocks])
     share = np.full(n, 1 / n)
     for _ in range(rounds):
@@ -349,12 +351,12 @@ def summarise(docs: DataFrame, k: int = 3, id_column: str = "doc_id", text_colum
         return [some[i] for i in sorted(np.argsort(-score, kind="stable")[:k])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             found = [" ".join(best(x or [])) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], [id_column, "summary"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, sentences(F.col(text_column)).alias("s")).mapInArrow(run, f"`{id_column}` {kind}, summary string")
+    return spread(docs.select(id_column, text_column)).select(id_column, sentences(F.col(text_column)).alias("s")).mapInArrow(run, f"`{id_column}` {kind}, summary string")
 
 
 def hash_embeddings(df: DataFrame, key: list[str], words: Column, dim: int = 512) -> DataFrame:
@@ -369,6 +371,17 @@ def hash_embeddings(df: DataFrame, key: list[str], words: Column, dim: int = 512
     return df.select(*key).distinct().join(found, key, "left").select(*key, F.coalesce("vec", zero).alias("vec"))
 
 
+def hash_vector(words: Column, dim: int = 512) -> Column:
+    """What `hash_embeddings` gives for one row's words, as an expression: no row is exploded, shuffled or joined."""
+    from weftline.functions.css import let
+
+    zero = F.lit(0.0)
+    buckets = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double"))
+    scaled = lambda n: let(F.sqrt(F.aggregate(n, zero, lambda s, x: s + x * x)), lambda size: F.transform(n, lambda x: x / size))
+    return F.when(F.size(words) > 0, let(buckets, lambda own: let(counts(own), scaled))).otherwise(F.array_repeat(zero, dim))
+
+
 def visual_words(attrs: Column, strict_reference: bool = False) -> tuple[Column, Column]:
     """Texts of the class and id attributes; strict puts a blank between an id's characters."""
     get = lambda k: F.coalesce(F.try_element_at(attrs, F.lit(k)), F.lit(""))
