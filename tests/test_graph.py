@@ -186,3 +186,8 @@ def test_layers_hold_few_pages_at_once(spark):
     got = {(r.page_id, r.node_id): r.y for r in nn.run_per_page(nodes.coalesce(1), edges, lambda x, e: np.array([[len(x), *(len(q) for q in e)]] * len(x), float)).collect()}
     n_edges = {1: [0, 0], 2: [1, 1], 3: [2, 1]}
     assert got == {(p, i): [n, *n_edges[n]] for p in range(n_pages) for n in [p % 3 + 1] for i in range(n)}
+
+
+def test_summaries_keep_the_digits_of_their_sentences(spark):
+    docs = spark.createDataFrame([(1, "0 zero one. 1 one two. 2 two"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.summary for r in graph.summarise(docs).collect()} == {1: "0 zero one. 1 one two. 2 two", 2: ""}
