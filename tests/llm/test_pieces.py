@@ -221,3 +221,13 @@ def test_held_out_texts_move_no_other_score(spark, small):
     assert held and before.keys() == after.keys()
     for i in before:
         assert after[i] == pytest.approx(before[i], rel=1e-9)
+
+
+def test_words_of_small_batches_are_done_together():
+    words = [f"w{k}" for k in range(1000)]
+    small = [pa.RecordBatch.from_arrays([pa.array(words[k : k + 7]), pa.array(range(k, min(k + 7, 1000)))], ["word", "c"]) for k in range(0, 1000, 7)]
+    for most, number in ((400, 3), (10**6, 1)):
+        got = list(lm_scoring.word_batches(iter(small), lm_scoring.LatticeParams(lattice_words=most)))
+        assert len(got) == number and sum((b.column(0).to_pylist() for b in got), []) == words
+    assert len(list(lm_scoring.word_batches(iter(small), lm_scoring.LatticeParams(lattice_bytes=1)))) == len(small)
+    assert not list(lm_scoring.word_batches(iter([]), lm_scoring.LatticeParams()))

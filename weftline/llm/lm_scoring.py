@@ -46,6 +46,8 @@ class LatticeParams:
     rounds: int = 3
     prior_weight: float = 2000.0
     merge_words: int = 1_500_000
+    lattice_words: int = 1 << 16
+    lattice_bytes: int = 8 << 20
 
 
 #: The end of a text in the table of words; no word is empty.
@@ -171,14 +173,28 @@ class PieceModel:
             self.refit(self.log_words(words, counts)[1])
 
 
-def calibrate_on(table: DataFrame, model: PieceModel, rounds: int) -> None:
+def word_batches(batches: Iterator[pa.RecordBatch], p: LatticeParams) -> Iterator[pa.RecordBatch]:
+    """Batches of a table of words, joined to `lattice_words` rows or `lattice_bytes` bytes. Words of one length are done
+    together, so a pass over a few of them costs as much as one over thousands."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= p.lattice_words or size >= p.lattice_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def calibrate_on(table: DataFrame, model: PieceModel, rounds: int, p: LatticeParams = LatticeParams()) -> None:
     """Fits the model on all words of table (word, c). The driver gets one row a piece and round."""
     for _ in range(rounds):
         held = table.sparkSession.sparkContext.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             expected = np.zeros(len(held.value.log_p))
-            for batch in batches:
+            for batch in word_batches(batches, p):
                 expected += held.value.log_words(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))[1]
             at = np.flatnonzero(expected)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(expected[at])], ["piece", "n"])
@@ -202,7 +218,7 @@ def lm_scores(docs: DataFrame, p: LatticeParams = LatticeParams(), id_column: st
     head = frequent_words(table, p).toPandas()
     model = PieceModel(lattice.load(p.model_path), p)
     trained = table.where("c > 0").select("word", "c")
-    calibrate_on(trained if p.calibration_words is None else checkpoint(trained.orderBy(F.desc("c"), "word").limit(p.calibration_words)), model, p.rounds)
+    calibrate_on(trained if p.calibration_words is None else checkpoint(trained.orderBy(F.desc("c"), "word").limit(p.calibration_words)), model, p.rounds, p)
     held_model = spark.sparkContext.broadcast(model)
     log_head = model.log_words(head.word.tolist())[0] / np.log(10)
     raw = [w.encode() for w in head.word]
@@ -249,7 +265,7 @@ def lm_scores(docs: DataFrame, p: LatticeParams = LatticeParams(), id_column: st
                 yield pa.RecordBatch.from_arrays([uid.take(pa.array(doc[at])), span_strings(part, starts[at], ends[at]), pa.array(times.astype(np.int64)), pa.nulls(len(at), info.type)], names)
 
     def word_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in word_batches(batches, p):
             found = held_model.value.log_words(batch.column(0).to_pylist())[0] / np.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["_word", "c", "log_p"])
 
