@@ -34,8 +34,9 @@ BROADCAST_ROWS = 1 << 20
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each class of texts whose five-word shingles have a Jaccard similarity of
-    0.8 or more. Of repeated rows one stays; a row without an id stays only where its class has none with one; empty
-    texts are one class. Classes are found by row numbers, so that no text is shuffled while few rows go."""
+    0.8 or more, proposed by SimHash fingerprints in BK-trees and by MinHash bands. Of repeated rows one stays; a row
+    without an id stays only where its class has none with one; empty texts are one class. Classes are found by row
+    numbers, so that no text is shuffled while few rows go."""
     docs = replayable(docs)
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))

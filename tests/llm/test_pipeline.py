@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from weftline.llm import near_dedup
+from weftline.llm import near_dedup, simhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -106,3 +106,20 @@ def test_stage_drops_texts_of_similarity_80(spark, small):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, small).collect())
     want = slow_jaccard_classes([r[1] for r in rows])
     assert kept == sorted(set(want)) and 7 not in kept and {0, 5, 6} <= set(kept)
+
+
+def test_links_of_fingerprints_need_no_band(spark):
+    """One band of all minima, which hardly any pair shares: what is found comes from the BK-trees."""
+    r, texts = random.Random(8), []
+    for _ in range(40):
+        words = [f"w{r.randrange(10**6)}" for _ in range(600)]
+        texts += [" ".join(words), " ".join([*words[:-12], *(f"x{r.randrange(10**6)}" for _ in range(12))])]
+    p = near_dedup.NearDedupParams(bands=1, rows=128, least_agreed=0)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), p).collect()}
+    fps = [simhash.fingerprint(t, p.simhash) for t in texts]
+    near = [k for k in range(0, len(texts), 2) if (fps[k] ^ fps[k + 1]).bit_count() <= 3]
+    assert len(near) >= 10 and all(got[k] == got[k + 1] for k in near)
+    far = [f"{t} tail" if k % 2 else t for k, t in enumerate(texts)]  # links are decided by whole sets
+    strict = near_dedup.NearDedupParams(bands=1, rows=128, least_agreed=0, percent=100)
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(far)), "doc_id long, text string"), strict)
+    assert got.where("doc_id <> component_id").count() == 0

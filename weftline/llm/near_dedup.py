@@ -3,11 +3,14 @@
 A document is the set of its `shingle`-word runs, A-Z lower-cased, as 64-bit hashes. Two documents link if the
 Jaccard similarity of their sets is at least `percent` / 100; a class is a component of the links.
 
-Candidates: `bands` x `rows` minimum hashes. Two documents meet in a band if its `rows` minima agree; at a
+Candidates come first from SimHash fingerprints of the same `shingle`-word runs, linked at `radius` or fewer differing
+bits by BK-trees (`simhash.links`). At a similarity of 0.8 fingerprints often lie further apart, so others come from
+`bands` x `rows` minimum hashes. Two documents meet in a band if its `rows` minima agree; at a
 similarity of 0.8 a pair meets in none of the 32 bands with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8. A byte of
 each of the 128 minima is the document's sketch; a pair that agrees in fewer than `least_agreed` of them is passed
 over, which befalls a pair at 0.8 with a probability of 3e-8. Every other candidate is decided by its whole sets, so
-nothing but those chances is lost and nothing is linked wrongly. Equal sets are one node at once, so a group of exact
+nothing but those chances is lost and nothing is linked wrongly. Every pair within the radius lies in one component of
+the fingerprint links, and is decided there. Equal sets are one node at once, so a group of exact
 copies is one row.
 
 A band of n near copies would give n * n / 2 pairs. So each of `rounds` rounds first compares the band's members
@@ -39,8 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import IS_SPACE, blocks, checkpoint, few_tasks, mix, replayable, span_hashes, spans, text_buffers
-from .simhash import components
+from .simhash import SimHashParams, components
 
 
 @dataclass(frozen=True)
@@ -55,6 +59,11 @@ class NearDedupParams:
     members_a_task: int = 4096
     bitmap_bits_log2: int = 27
     seed: int = 42
+    radius: int = 3
+
+    @property
+    def simhash(self) -> SimHashParams:
+        return SimHashParams(shingle=self.shingle, radius=self.radius)
 
 
 #: Shingles of an average set; blocks of longer sets have fewer members.
@@ -136,16 +145,18 @@ def _lists(values: np.ndarray) -> pa.ListArray:
 
 
 def signatures(rows: DataFrame, p: NearDedupParams) -> DataFrame:
-    """rows (uid, id, text) to uid, id, key (of the set), n (its size), bands and sketch (16 longs); a narrow pass."""
+    """rows (uid, id, text) to uid, id, key (of the set), n (its size), bands, sketch (16 longs) and fp (the SimHash); a
+    narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, values, offsets in _sets(batch.column(2), p):
                 bands, sketch = band_keys(values, offsets, p)
+                fps = simhash.signed([simhash.fingerprint(x.as_py(), p.simhash) for x in batch.column(2).slice(lo, hi - lo)])
                 own = [batch.column(k).slice(lo, hi - lo) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(set_keys(values, offsets).view(np.int64)), pa.array(np.diff(offsets)), _lists(bands.view(np.int64)), _lists(sketch.view(np.int64))], ["uid", "id", "key", "n", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(set_keys(values, offsets).view(np.int64)), pa.array(np.diff(offsets)), _lists(bands.view(np.int64)), _lists(sketch.view(np.int64)), pa.array(fps)], ["uid", "id", "key", "n", "bands", "sketch", "fp"])
 
-    return rows.mapInArrow(run, f"uid long, id {rows.schema['id'].dataType.simpleString()}, key long, n long, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(run, f"uid long, id {rows.schema['id'].dataType.simpleString()}, key long, n long, bands array<long>, sketch array<long>, fp long")
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, p: NearDedupParams) -> DataFrame:
@@ -294,12 +305,23 @@ def block_links(rows: DataFrame, p: NearDedupParams, exact: bool = False) -> Dat
     return alone.unionByName(both).mapInArrow(_met_in_blocks(p, exact), "a long, b long")
 
 
+def fingerprint_links(groups: DataFrame, p: NearDedupParams) -> DataFrame:
+    """Links (a, b) of keys that span the components of fingerprints within the radius, found by BK-trees. groups: key, fp."""
+    by_fp = checkpoint(groups.groupBy("fp").agg(F.min("key").alias("low")))
+    side = lambda e: by_fp.select(F.col("fp").alias(e), F.col("low").alias(f"{e}_key"))
+    near = simhash.links(by_fp.select("fp"), p.simhash).join(side("a"), "a").join(side("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    same = groups.join(by_fp, "fp").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    return checkpoint(near.unionByName(same))
+
+
 def links(groups: DataFrame, rows: DataFrame, p: NearDedupParams) -> DataFrame:
-    """(node, root) of the nodes with a link. groups: key, uid, n, bands, sketch, a row a key; rows: uid, text."""
+    """(node, root) of the nodes with a link. groups: key, uid, n, bands, sketch, fp, a row a key; rows: uid, text."""
     members = groups.where("n > 0").select("key", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     met = checkpoint(members.join(sizes, "band"))
-    kept = checkpoint(groups.join(met.select("key").distinct(), "key", "left_semi"))
+    close = fingerprint_links(groups.where("n > 0").select("key", "fp"), p)
+    linked = close.select(F.col("a").alias("key")).union(close.select("b"))
+    kept = checkpoint(groups.join(met.select("key").union(linked).distinct(), "key", "left_semi").drop("fp"))
     n = kept.count()
     few = lambda df: few_tasks(df, n, p.members_a_task)
     kept = few(kept)
@@ -310,7 +332,7 @@ def links(groups: DataFrame, rows: DataFrame, p: NearDedupParams) -> DataFrame:
         if k < p.rounds:
             chosen = F.min(F.struct(F.xxhash64("key", F.lit(p.seed + k)).alias("h"), "key")).alias("c")
             centre = met.groupBy("band").agg(chosen).select("band", F.col("c.key").alias("c"))
-            pairs = few(met.join(centre, "band").where("key <> c").select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct())
+            pairs = few(met.join(centre, "band").where("key <> c").select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).union(close.select(F.least("a", "b"), F.greatest("a", "b"))).distinct())
             side = lambda e: known.select(F.col("key").alias(e), F.struct("n", "root", "sketch").alias(f"_{e}"))
             pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("_a.root <> _b.root")
             sized = 100 * F.least("_a.n", "_b.n") >= p.percent * F.greatest("_a.n", "_b.n")  # else no overlap reaches the least similarity
@@ -318,7 +340,7 @@ def links(groups: DataFrame, rows: DataFrame, p: NearDedupParams) -> DataFrame:
             more = checkpoint(few(similar(checkpoint(few(pairs)), sets, p)))
         else:
             alike = checkpoint(block_links(met.join(known, "key").select("band", "key", "n", "root", "sketch"), p))
-            groups_of = components(alike).select(F.col("node").alias("key"), F.col("root").alias("band"))
+            groups_of = components(alike.unionByName(close)).select(F.col("node").alias("key"), F.col("root").alias("band"))
             groups_of = groups_of.unionByName(groups_of.select(F.col("band").alias("key"), "band")).distinct()
             more = checkpoint(block_links(few(known.select("key", "n", "root", "sketch").join(groups_of, "key").join(sets, "key")), p, exact=True))
         known_links = more if roots is None else more.unionByName(roots.toDF("a", "b"))
@@ -330,7 +352,7 @@ def near_duplicates(docs: DataFrame, p: NearDedupParams = NearDedupParams(), id_
     """One row per document: id_column and component_id, the smallest id of its class."""
     rows = replayable(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))).select(F.monotonically_increasing_id().alias("uid"), "id", "text")
     found = checkpoint(signatures(rows, p))
-    first = F.first(F.struct("uid", "n", "bands", "sketch")).alias("one")
+    first = F.first(F.struct("uid", "n", "bands", "sketch", "fp")).alias("one")
     groups = checkpoint(found.groupBy("key").agg(F.min("id").alias("low_id"), first).select("key", "low_id", "one.*"))
     roots = links(groups, rows.select("uid", "text"), p)
     classes = groups.select("key", "low_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "low_id", F.coalesce("root", "key").alias("root"))
