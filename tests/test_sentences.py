@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -105,3 +106,15 @@ def test_text_sentences_with_digits_and_blanks_at_the_end(spark, tmp_path):
     sql = ORACLE_SQL["text_sentences"].replace("from documents", f"from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == dict(duckdb.sql(sql).fetchall())
     assert [got[i] for i in range(4)] == [1, 4, 4, 2]
+
+
+def test_split_looks_only_at_words_with_marks(monkeypatch):
+    seen = []
+    plain = s._END.search
+    monkeypatch.setattr(s, "_END", type("End", (), {"search": staticmethod(lambda *a: seen.append(a[0]) or plain(*a))}))
+    known = s.Learned({"dr"}, set(), {"the"}, {"the"}, set())
+    assert s.split("one  two\x1cthree. \n Dr. No (why?) 3.5 x\t“end.” .. 好。吗 z", known) == ["one  two\x1cthree.", "Dr. No (why?)", "3.5 x\t“end.”", "..", "好。", "吗 z"]
+    assert seen == ["three.", "Dr.", "(why?)", "3.5", "“end.”", "..", "好。吗"]
+    words = []
+    monkeypatch.setattr(s, "_TOKEN", type("Token", (), {"search": staticmethod(lambda *a: words.append(a) or re.search(r"\S+", a[0][a[1] :]))}))
+    assert s.split("a b c d e foot. g", known) == ["a b c d e foot.", "g"] and len(words) == 1  # once a full stop, not once a word

@@ -43,6 +43,8 @@ _TOKEN = re.compile(r"\S+")
 _WIDE = "。！？"
 _CLOSING = "\"'”’»)]}"
 _MARKS = frozenset(f".!?{_WIDE}")
+#: A mark and what follows it in its word.
+_MARK = re.compile(rf"[.!?{_WIDE}]\S*")
 _WIDE_END = re.compile(rf"[{_WIDE}]+[{re.escape(_CLOSING)}]*")
 _END = re.compile(rf"[.!?{_WIDE}]+[{re.escape(_CLOSING)}]*\Z")
 _STRIP = "\"'“”‘’«»()[]{},;:"
@@ -86,11 +88,13 @@ class Learned:
 
 def split(text: str | None, learned: Learned) -> list[str]:
     """The text's sentences, trimmed."""
-    text, out, start = text or "", [], 0
-    tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
-    for k, (lo, hi, word) in enumerate(tokens):
-        if _MARKS.isdisjoint(word):
-            continue
+    text, out, start, seen = text or "", [], 0, 0
+    while mark := _MARK.search(text, seen):  # only words with a mark are looked at
+        lo = mark.start()
+        while lo > seen and not text[lo - 1].isspace():
+            lo -= 1
+        hi = seen = mark.end()
+        word = text[lo:hi]
         at = lo
         for m in _WIDE_END.finditer(word):  # also within a run without white space
             if lo + m.end() < hi:
@@ -100,8 +104,10 @@ def split(text: str | None, learned: Learned) -> list[str]:
         if not end:
             continue
         marks = end[0].rstrip(_CLOSING)
-        if set(marks) == {"."} and len(marks) == 1 and not learned.ends(word.rstrip(_CLOSING), tokens[k + 1][2] if k + 1 < len(tokens) else None):
-            continue
+        if marks == ".":
+            following = _TOKEN.search(text, hi)
+            if not learned.ends(word.rstrip(_CLOSING), following and following[0]):
+                continue
         out.append(text[start:hi].strip())
         start = hi
     out.append(text[start:].strip())
