@@ -125,6 +125,22 @@ def test_hashed_and_plain_tables_agree(vocabulary, spark, small):
         assert all(np.array_equal(x, y) for x, y in zip(a[:2], b[:2])) and np.allclose(a[2], b[2])
 
 
+@pytest.mark.parametrize("together", [1, 60, 1 << 17])
+def test_atoms_of_all_lengths_go_through_the_trie_together(toy, together):
+    """Scores are whole numbers, so that many paths tie."""
+    r = np.random.default_rng(5)
+    v = lattice.Vocabulary(toy[0].pieces, np.round(toy[0].scores), toy[0].byte_ids.tolist(), [0])
+    atoms = list({"".join(r.choice(list("abcé▁日"), n, p=[0.3, 0.3, 0.25, 0.05, 0.05, 0.05])) for n in [*range(1, 40), 300] for _ in range(4)})
+    texts, steps, step = [" " + a for a in atoms], [], v.step
+    v.step = lambda node, symbol: steps.append(len(node)) or step(node, symbol)
+    data, offsets = pieces.text_buffers(pa.array(texts))
+    for ids, edges, scores in (lattice.AtomTable(v, together=together).encode(texts), lattice.HashedAtoms(v).encode(data, offsets)):
+        for t, a, b, score in zip(texts, edges[:-1], edges[1:], scores):
+            assert (score, ids[a:b].tolist()) == slow_encode(v, t)
+    if together > 60:
+        assert len(steps) <= 2 * v.max_length  # not some for each length and place
+
+
 def test_whole_query(spark, small):
     rows = pieces.op2_sentencepiece(spark, small).collect()
     assert len(rows) >= 200 and all(r.round_trip and len(r.ids) == r.n_tokens for r in rows)

@@ -5,8 +5,8 @@ A text is put as SentencePiece puts it: a space before it, spaces standing for t
 literal U+2581 of a text is spelt by bytes as well, so that decoding gives back the very text.
 
 An atom is a stretch that no piece can leave: pieces have the space mark only in front, and some characters
-occur in no longer piece. Atoms are independent, so results are kept by atom and computed for many atoms of
-one length at a time.
+occur in no longer piece. Atoms are independent, so results are kept by atom and computed for many atoms at
+a time.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from .common import gather_index, span_hashes, span_strings
+from .common import gather_index, segment_sum, span_hashes
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -152,48 +152,79 @@ def lattice_edges(v: Vocabulary, symbols: np.ndarray) -> Iterator[tuple[int, int
                 yield i, length, rows[ends], piece[ends]
 
 
-def viterbi(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best segmentation of texts of one length: flat ids, their number by text, and scores. On ties the
-    longer last piece is taken."""
-    n, count = len(texts[0]), len(texts)
-    symbols = v.symbol[code_points("".join(texts))].reshape(count, n)
-    best = np.full((n + 1, count), -np.inf)
-    best[0] = 0
-    came, by = np.zeros((n + 1, count), np.int32), np.zeros((n + 1, count), np.int32)
-    for i, length, rows, piece in lattice_edges(v, symbols):
-        score = best[i][rows] + (v.scores[piece] if piece[0] >= 0 else v.unknown_score)
-        j = i + length
-        better = np.flatnonzero(score > best[j][rows])
-        rows = rows[better]
-        best[j][rows], came[j][rows], by[j][rows] = score[better], i, piece[better]
-    back = np.full((count, n), -2, np.int32)
-    place, alive, k = np.full(count, n), np.arange(count), n
+def viterbi(v: Vocabulary, points: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best segmentation of texts, none empty, longest first, given by their code points and lengths: flat ids, their
+    number by text, and scores. On ties the longer last piece is taken.
+
+    All texts go through the trie together, and then place by place through the recursion: those that reach a place
+    are the first ones, so their states lie in one run, and state (place, text) is at off[place] + text."""
+    count, first, most = len(length), np.cumsum(length) - length, int(length[0])
+    reach = np.append(np.searchsorted(-length, -np.arange(most + 1), side="right"), 0)  # texts that have the place as their end or before it
+    off = np.cumsum(reach) - reach
+    row = np.repeat(np.arange(count), length)
+    place = np.arange(len(points)) - first[row]
+    state = off[place] + row
+    symbols = np.zeros(len(points) + count + 1, np.int64)  # a text ends in a symbol of no piece, where the trie ends, too
+    spot = np.arange(len(points)) + row
+    symbols[spot] = v.symbol[points]
+    none, unknown = len(v.scores) + 1, len(v.scores)
+    worth = np.concatenate((v.scores, [v.unknown_score, -np.inf]))
+    pieces = np.full((v.max_length + 1, int(off[most + 1])), none, np.int32)  # by length and the state it starts from
+    seen = np.zeros((v.max_length + 1, most + 1), bool)
+    node = v.step(np.zeros(len(points), np.int64), symbols[spot])
+    lone = np.where(node >= 0, v.piece_of[node], -1)
+    pieces[1, state] = np.where(lone >= 0, lone, unknown)
+    seen[1] = True
+    at = np.flatnonzero(node >= 0)
+    node = node[at]
+    for n in range(2, v.max_length + 1):
+        node = v.step(node, symbols[spot[at] + n - 1])
+        alive = node >= 0
+        at, node = at[alive], node[alive]
+        if not len(at):
+            break
+        piece = v.piece_of[node]
+        ends = np.flatnonzero(piece >= 0)
+        pieces[n, state[at[ends]]] = piece[ends]
+        seen[n, place[at[ends]]] = True
+    best, taken = np.zeros(int(off[most + 1])), np.zeros(int(off[most + 1]), np.int32)
+    for j in range(1, most + 1):
+        m, here = int(reach[j]), int(off[j])
+        top, by = np.full(m, -np.inf), taken[here : here + m]
+        for n in range(min(j, v.max_length), 0, -1):
+            if seen[n, j - n]:
+                lo = int(off[j - n])
+                score = best[lo : lo + m] + worth[pieces[n, lo : lo + m]]
+                better = score > top
+                np.copyto(top, score, where=better)
+                np.copyto(by, n, where=better)
+        best[here : here + m] = top
+    end, alive, parts = length.copy(), np.arange(count), []
     while len(alive):
-        k -= 1
-        at = place[alive]
-        p, start = by[at, alive], came[at, alive]
-        back[alive, k] = np.where(p >= 0, p, -3 - start)
-        place[alive] = start
-        alive = alive[start > 0]
-    lengths = (back != -2).sum(axis=1)
-    flat = back[back != -2].astype(np.int64)
-    unknown = np.flatnonzero(flat < 0)
-    if len(unknown):
-        row = np.searchsorted(np.cumsum(lengths), unknown, side="right")
-        spelt = [v.spell(texts[r][-3 - x]) for r, x in zip(row.tolist(), flat[unknown].tolist())]
+        n = taken[off[end[alive]] + alive]
+        end[alive] -= n
+        parts.append((alive, pieces[n, off[end[alive]] + alive], end[alive]))
+        alive = alive[end[alive] > 0]
+    row, flat, start = (np.concatenate(x)[::-1] for x in zip(*parts))
+    order = np.argsort(row, kind="stable")  # each text's pieces from its first to its last
+    row, flat, start = row[order], flat[order].astype(np.int64), start[order]
+    lengths = np.bincount(row, minlength=count)
+    odd = np.flatnonzero(flat == unknown)
+    if len(odd):
+        spelt = [v.spell(chr(c)) for c in points[first[row[odd]] + start[odd]].tolist()]
         times = np.ones(len(flat), np.int64)
-        times[unknown] = [len(x) for x in spelt]
-        np.add.at(lengths, row, times[unknown] - 1)
+        times[odd] = [len(x) for x in spelt]
+        np.add.at(lengths, row[odd], times[odd] - 1)
         flat = np.repeat(flat, times)
-        flat[flat < 0] = [y for x in spelt for y in x]
-    return flat, lengths, best[n]
+        flat[flat == unknown] = [y for x in spelt for y in x]
+    return flat, lengths, best[off[length] + np.arange(count)]
 
 
 class AtomTable:
     """Encodings of the atoms met so far, by a number each; all are forgotten beyond `most` of them."""
 
-    def __init__(self, v: Vocabulary, most: int = 450_000):
-        self.v, self.most = v, most
+    def __init__(self, v: Vocabulary, most: int = 450_000, together: int = 1 << 17):
+        self.v, self.most, self.together = v, most, together
         self.clear()
 
     def clear(self) -> None:
@@ -201,25 +232,24 @@ class AtomTable:
         self.lengths, self.scores = np.zeros(0, np.int64), np.zeros(0)
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def add(self, atoms: Iterable[str]) -> dict[str, int]:
-        """Numbers of distinct atoms that are not in the table yet."""
-        by_length: dict[int, list[str]] = {}
-        new: dict[str, int] = {}
-        for a in atoms:
-            by_length.setdefault(len(a), []).append(a)
+    def add(self, points: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Numbers of distinct atoms that are not in the table yet, given by their code points and lengths."""
+        order = np.argsort(-length, kind="stable")
+        points, length = points[gather_index((np.cumsum(length) - length)[order], length[order])], length[order]
         parts, lengths, scores = [self.flat], [self.lengths], [self.scores]
-        for n, group in by_length.items():
-            step = max(1, (1 << 18) // (n + 1))
-            for lo in range(0, len(group), step):
-                some = group[lo : lo + step]
-                flat, many, best = viterbi(self.v, some)
-                new.update(zip(some, range(len(self.lengths) + len(new), len(self.lengths) + len(new) + len(some))))
-                parts.append(flat.astype(np.int32))
-                lengths.append(many)
-                scores.append(best)
+        edge, lo = np.concatenate(([0], np.cumsum(length))), 0
+        while lo < len(length):  # a bounded number of characters together
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + self.together, side="right")) - 1)
+            flat, many, best = viterbi(self.v, points[edge[lo] : edge[hi]], length[lo:hi])
+            parts.append(flat.astype(np.int32))
+            lengths.append(many)
+            scores.append(best)
+            lo = hi
+        number = np.empty(len(length), np.int64)
+        number[order] = np.arange(len(length)) + len(self.lengths)
         self.flat, self.lengths, self.scores = np.concatenate(parts), np.concatenate(lengths), np.concatenate(scores)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        return new
+        return number
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, offsets by text and scores; a text has its leading space already, or is empty."""
@@ -231,7 +261,8 @@ class AtomTable:
             some = find(t)
             counts[k] = len(some)
             atoms += some
-        self.number.update(self.add(set(atoms).difference(self.number)))
+        new = list(set(atoms).difference(self.number))
+        self.number.update(zip(new, self.add(code_points("".join(new)), np.fromiter(map(len, new), np.int64, len(new))).tolist()))
         return self.gather(np.fromiter(map(get, atoms), np.int64, len(atoms)), counts)
 
     def gather(self, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,8 +275,7 @@ class AtomTable:
 
 
 class HashedAtoms:
-    """AtomTable over UTF-8 bytes: atoms are told apart by 64-bit hashes, and only new ones become strings, which
-    are not kept.
+    """AtomTable over UTF-8 bytes: atoms are told apart by 64-bit hashes, and only new ones are looked at by character.
 
     Equal hashes of unlike atoms would show as a failed round trip; callers check it and fall back to `plain`.
     """
@@ -277,9 +307,10 @@ class HashedAtoms:
             code = np.where(self.keys[at] == hashes, self.codes[at], -1)
         new = np.flatnonzero(code < 0)
         if len(new):
-            texts = span_strings(data, starts[first[new]], ends[first[new]]).to_pylist()
-            number = self.table.add(texts)
-            code[new] = np.fromiter(map(number.__getitem__, texts), np.int64, len(texts))
+            lo, size = starts[first[new]], (ends - starts)[first[new]]
+            some = data[gather_index(lo, size)]
+            length = segment_sum((some & 0xC0) != 0x80, np.concatenate(([0], np.cumsum(size))))
+            code[new] = self.table.add(code_points(some.tobytes().decode()), length)
             keys, codes = np.concatenate((self.keys, hashes[new])), np.concatenate((self.codes, code[new]))
             order = np.argsort(keys, kind="stable")
             self.keys, self.codes = keys[order], codes[order]
