@@ -31,6 +31,6 @@ def cut_references(tmp_path_factory):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["dom_texts"])
+@pytest.mark.parametrize("name", ["dom_texts", "dom_tokens"])
 def test_cut_references_equal_sql(spark, cut_references, name):
     check(spark, cut_references, QUERIES[name], ORACLE_SQL[name])
